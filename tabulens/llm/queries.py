@@ -5,13 +5,16 @@ from __future__ import annotations
 from tabulens.llm.common import table
 from tabulens.llm.exact_dedup import OP7_SQL, exact_duplicates
 from tabulens.llm.mixing import OP1_SQL, mixture
+from tabulens.llm.quality import OP4_SQL, judge
 
 QUERIES: dict = {
+    "op4_quality": lambda spark, sf: judge(table(spark, sf, "documents")),
     "op1_mixing": lambda spark, sf: mixture(table(spark, sf, "documents")),
     "op7_exact_dedup": lambda spark, sf: exact_duplicates(table(spark, sf, "documents")),
 }
 
 ORACLES: dict[str, str] = {
+    "op4_quality": OP4_SQL,
     "op1_mixing": OP1_SQL,
     "op7_exact_dedup": OP7_SQL,
 }
