@@ -36,7 +36,7 @@ SPREADS = 3.0
 RATES = {
     "symbol_rate": ("n_symbols / word_chars", 0.02, False),
     "dup_line_rate": ("n_dup_lines / n_lines", 0.1, False),
-    "repeat_rate": ("n_repeat_words / n_words", 0.05, False),
+    "repeat_rate": ("n_repeat_words / n_words", 0.07, False),
     "word_length": ("word_chars / n_words", 0.75, True),
 }
 FENCE_ROWS = 100_000
@@ -171,7 +171,7 @@ quartiles AS (
 ),
 fences AS (
   SELECT lang, source, rate,
-         q3 + 3.0 * greatest(q3 - q1, CASE rate WHEN 'symbol_rate' THEN 0.02 WHEN 'dup_line_rate' THEN 0.1 WHEN 'repeat_rate' THEN 0.05 ELSE 0.75 END) AS high,
+         q3 + 3.0 * greatest(q3 - q1, CASE rate WHEN 'symbol_rate' THEN 0.02 WHEN 'dup_line_rate' THEN 0.1 WHEN 'repeat_rate' THEN 0.07 ELSE 0.75 END) AS high,
          CASE WHEN rate = 'word_length' THEN q1 - 3.0 * greatest(q3 - q1, 0.75) END AS low
   FROM quartiles
 ),
