@@ -44,7 +44,8 @@ class DigestIndex:
     def append(self, batch: DataFrame) -> None:
         """Add the digests of ``batch`` (doc_id, digest, row) that the index lacks."""
         first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
-        groups = batch.groupBy("digest").agg(first.alias("f"), F.count(F.lit(1)).alias("n"))
+        # Stored, as else the anti-join would be pushed below the aggregation and deal out every row.
+        groups = store(batch.groupBy("digest").agg(first.alias("f"), F.count(F.lit(1)).alias("n")), "groups")
         fresh = groups.join(self.rows().hint("merge"), "digest", "left_anti")
         fresh.select("digest", F.col("f.doc_id").alias("keep_id"), F.col("f.row").alias("keep_row"), "n").write.insertInto(self.name)
 
