@@ -7,8 +7,10 @@ from tabulens.llm.exact_dedup import OP7_SQL, exact_duplicates
 from tabulens.llm.mixing import OP1_SQL, mixture
 from tabulens.llm.quality import OP4_SQL, judge
 from tabulens.llm.near_dedup import near_duplicates
+from tabulens.llm.packing import pack
 
 QUERIES: dict = {
+    "op2_packing": lambda spark, sf: pack(table(spark, sf, "documents")),
     "op9_near_dedup": lambda spark, sf: near_duplicates(table(spark, sf, "documents")),
     "op4_quality": lambda spark, sf: judge(table(spark, sf, "documents")),
     "op1_mixing": lambda spark, sf: mixture(table(spark, sf, "documents")),

@@ -29,9 +29,9 @@ def chunks(texts: list[str | None]):
         yield start, len(texts)
 
 
-def split(texts: list[str | None]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+def split(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """A code per word, the words of the codes, and where each text's words begin (and the end)."""
-    words = [(t or "").encode().lower().split() for t in texts]
+    words = [(t or "").encode().lower().split() if lower else (t or "").encode().split() for t in texts]
     ends = np.zeros(len(words) + 1, dtype=np.int64)
     np.cumsum([len(w) for w in words], out=ends[1:])
     coded = pa.array(chain.from_iterable(words), pa.large_binary(), size=int(ends[-1])).dictionary_encode()
