@@ -8,8 +8,10 @@ from tabulens.llm.mixing import OP1_SQL, mixture
 from tabulens.llm.quality import OP4_SQL, judge
 from tabulens.llm.near_dedup import near_duplicates
 from tabulens.llm.packing import pack
+from tabulens.llm.lm import score_documents
 
 QUERIES: dict = {
+    "op3_lm_scoring": lambda spark, sf: score_documents(table(spark, sf, "documents")),
     "op2_packing": lambda spark, sf: pack(table(spark, sf, "documents")),
     "op9_near_dedup": lambda spark, sf: near_duplicates(table(spark, sf, "documents")),
     "op4_quality": lambda spark, sf: judge(table(spark, sf, "documents")),
