@@ -9,8 +9,10 @@ from tabulens.llm.quality import OP4_SQL, judge
 from tabulens.llm.near_dedup import near_duplicates
 from tabulens.llm.packing import pack
 from tabulens.llm.lm import score_documents
+from tabulens.llm.warc import OP10_SQL, round_trip
 
 QUERIES: dict = {
+    "op10_warc": lambda spark, sf: round_trip(spark, table(spark, sf, "pages")),
     "op3_lm_scoring": lambda spark, sf: score_documents(table(spark, sf, "documents")),
     "op2_packing": lambda spark, sf: pack(table(spark, sf, "documents")),
     "op9_near_dedup": lambda spark, sf: near_duplicates(table(spark, sf, "documents")),
@@ -20,6 +22,7 @@ QUERIES: dict = {
 }
 
 ORACLES: dict[str, str] = {
+    "op10_warc": OP10_SQL,
     "op4_quality": OP4_SQL,
     "op1_mixing": OP1_SQL,
     "op7_exact_dedup": OP7_SQL,
