@@ -10,8 +10,10 @@ from tabulens.llm.near_dedup import near_duplicates
 from tabulens.llm.packing import pack
 from tabulens.llm.lm import score_documents
 from tabulens.llm.warc import OP10_SQL, round_trip
+from tabulens.llm.toxicity import score_toxicity
 
 QUERIES: dict = {
+    "op5_toxicity": lambda spark, sf: score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op10_warc": lambda spark, sf: round_trip(spark, table(spark, sf, "pages")),
     "op3_lm_scoring": lambda spark, sf: score_documents(table(spark, sf, "documents")),
     "op2_packing": lambda spark, sf: pack(table(spark, sf, "documents")),
