@@ -1,7 +1,8 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
 Terms of a text are its words without punctuation at their ends and the words' beginnings, each
-hashed to TERM_BITS bits and counted once a text. The machine has a weight per term and, for
+hashed to TERM_BITS bits; a text has a term once for each of COUNTS that its occurrences reach, as
+a beginning that recurs says more than one that occurs once. The machine has a weight per term and, for
 pairs, the product of two short vectors, so that two terms together can mean what neither means
 alone, such as an insult near the mention of a group.
 
@@ -30,6 +31,7 @@ from tabulens.llm.common import store
 FOLDS = 5
 SAMPLE, TERMS, TERM_BITS = 20_000, 4096, 24
 PREFIXES = (4, 5, 6, 7)
+COUNTS = (1, 2, 3, 5)
 FACTORS, ROUNDS, RATE, DECAY = 8, 300, 0.05, 1e-3
 #: Terms of fewer labelled documents say nothing.
 MIN_DOCS = 3
@@ -47,20 +49,29 @@ def word_terms(word: bytes) -> set[int]:
     return found
 
 
-def text_terms(texts: list[str | None], index: dict[int, int] | None = None):
-    """(text number, term) pairs, each once, sorted; with ``index`` only its terms, by their numbers."""
+def text_terms(texts: list[str | None], index: np.ndarray | None = None):
+    """(text number, term) pairs, each once; a term holds its hash and, above it, the place of its
+    count in COUNTS. With ``index``, sorted terms, only those in it, as their places there."""
     codes, distinct, ends = words.split(texts)
+    mask = (1 << TERM_BITS) - 1
+    wanted = None if index is None else set((index & mask).tolist())
     own = [word_terms(w) for w in distinct]
-    if index is not None:
-        own = [[index[t] for t in ts if t in index] for ts in own]
+    if wanted is not None:
+        own = [ts & wanted for ts in own]
     sizes = np.array([len(x) for x in own], dtype=np.int64)
     flat = np.fromiter((t for ts in own for t in ts), dtype=np.int64, count=int(sizes.sum()))
     of_text = np.repeat(np.arange(len(texts)), np.diff(ends))
     n = sizes[codes] if len(codes) else np.zeros(0, np.int64)
     at = (np.cumsum(sizes) - sizes)[codes] if len(codes) else n
     place = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    pairs = np.unique((np.repeat(of_text, n) << TERM_BITS) | flat[place]) if len(place) else np.zeros(0, np.int64)
-    return pairs >> TERM_BITS, pairs & ((1 << TERM_BITS) - 1)
+    found, times = np.unique((np.repeat(of_text, n) << TERM_BITS) | flat[place], return_counts=True)
+    rows = np.concatenate([found[times >= c] >> TERM_BITS for c in COUNTS])
+    terms = np.concatenate([(found[times >= c] & mask) | (i << TERM_BITS) for i, c in enumerate(COUNTS)])
+    if index is not None:
+        at = np.minimum(np.searchsorted(index, terms), max(len(index) - 1, 0))
+        keep = index[at] == terms if len(index) else np.zeros(len(terms), bool)
+        rows, terms = rows[keep], at[keep]
+    return rows, terms
 
 
 class Machine:
@@ -116,19 +127,21 @@ def _all_terms(batches):
             yield pa.record_batch([pa.array(found, pa.int64()), pa.array(np.bincount(code, y[a:b][rows], len(found)).astype(np.int64)), pa.array(np.bincount(code, minlength=len(found)))], names=["term", "toxic", "n"])
 
 
-def _picked_terms(index: dict[int, int]):
+def _picked_terms(index: np.ndarray):
     def pick(batches):
         for batch in batches:
             y, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in words.chunks(texts):
                 rows, terms = text_terms(texts[a:b], index)
+                order = np.argsort(rows, kind="stable")
+                rows, terms = rows[order], terms[order]
                 cuts = np.searchsorted(rows, np.arange(b - a + 1))
                 yield pa.record_batch([pa.array(y[a:b], pa.int32()), pa.array([terms[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.list_(pa.int64()))], names=["toxic", "terms"])
 
     return pick
 
 
-def _scorer(machine: Machine, index: dict[int, int]):
+def _scorer(machine: Machine, index: np.ndarray):
     def score(batches):
         for batch in batches:
             ids, held, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
@@ -144,8 +157,8 @@ def _fold(doc_id: str = "doc_id"):
     return (F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % FOLDS).cast("int")
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> tuple[Machine, dict[int, int]]:
-    """The machine and the number of each of its terms."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> tuple[Machine, np.ndarray]:
+    """The machine and its terms, sorted."""
     known = labels.where("doc_id is not null and toxic is not null").where(_fold() != 0)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     known = store(known.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic")), "labelled")
@@ -157,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     share = toxic / size if size else 0.0
     apart = F.abs(F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * max(share * (1 - share), 1e-9))
     best = counts.where(F.col("n") >= MIN_DOCS).orderBy(apart.desc(), "term").limit(terms).select("term").toPandas()
-    index = {int(t): i for i, t in enumerate(sorted(best["term"]))}
+    index = np.sort(best["term"].to_numpy(np.int64))
     picked = texts.mapInArrow(_picked_terms(index), "toxic int, terms array<long>").toPandas()
     lengths = picked["terms"].map(len).to_numpy(np.int64)
     rows = np.repeat(np.arange(len(picked)), lengths)
