@@ -12,8 +12,10 @@ from tabulens.llm.lm import score_documents
 from tabulens.llm.warc import OP10_SQL, round_trip
 from tabulens.llm.toxicity import score_toxicity
 from tabulens.llm.line_dedup import OP6_SQL, lines_report
+from tabulens.llm.license_scan import OP8_SQL, scan_documents
 
 QUERIES: dict = {
+    "op8_license_scan": lambda spark, sf: scan_documents(table(spark, sf, "documents")),
     "op6_line_dedup": lambda spark, sf: lines_report(table(spark, sf, "documents")),
     "op5_toxicity": lambda spark, sf: score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op10_warc": lambda spark, sf: round_trip(spark, table(spark, sf, "pages")),
@@ -26,6 +28,7 @@ QUERIES: dict = {
 }
 
 ORACLES: dict[str, str] = {
+    "op8_license_scan": OP8_SQL,
     "op6_line_dedup": OP6_SQL,
     "op10_warc": OP10_SQL,
     "op4_quality": OP4_SQL,
