@@ -29,15 +29,17 @@ from tabulens.llm.common import store
 CAPACITY, END = 4096, 2
 #: Part of a sequence that a class may waste before its pieces are cut to fit; shorter pieces are never cut.
 WASTE, SHORT = 0.05, 256
-#: Words whose ids a Python worker remembers; the memory is emptied when full.
-CACHE_WORDS = 1_000_000
+#: Words and parts of words whose ids a Python worker remembers; the memory is emptied when full.
+CACHE_WORDS = 2_000_000
 #: New words that are tokenised as one text; a call a word takes thrice the time.
 TOGETHER = 1000
+#: Texts of about so many bytes are tokenised together.
+CHUNK = 8_000_000
 #: Tasks whose leftovers are pooled.
 POOL = 256
 
 FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_known: dict[str, dict[bytes, bytes]] = {}
+_known: dict[str, tuple[dict[bytes, bytes], dict[bytes, bytes]]] = {}
 _tokenizers: dict = {}
 
 
@@ -73,20 +75,25 @@ def _parts(word: bytes) -> tuple[bytes, ...]:
 
 def _word_ids(distinct: list[bytes], path: str) -> list[bytes]:
     """The ids of each word, as little-endian 32-bit numbers."""
-    known = _known.setdefault(path, {})
-    if len(known) > CACHE_WORDS:
+    known, pieces = _known.setdefault(path, ({}, {}))
+    if len(known) + len(pieces) > CACHE_WORDS:
         known.clear()
-    parts = [_parts(w) for w in distinct]
-    new = list({p for ps in parts for p in ps if p not in known})
+        pieces.clear()
+    ids = list(map(known.get, distinct))
+    missing = [i for i, x in enumerate(ids) if x is None]
+    parts = [_parts(distinct[i]) for i in missing]
+    new = list({p for ps in parts for p in ps if p not in pieces})
     for i in range(0, len(new), TOGETHER):
         some = new[i : i + TOGETHER]
         texts = [p.decode() for p in some]
         encoded = _tokenizer(path).encode(" ".join(texts), add_special_tokens=False)
-        ids = np.array(encoded.ids, dtype="<u4")
+        raw = np.array(encoded.ids, dtype="<u4").tobytes()
         begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        ends = np.searchsorted([x for x, _ in encoded.offsets], begins)
-        known.update((p, ids[a:b].tobytes()) for p, a, b in zip(some, ends[:-1].tolist(), ends[1:].tolist(), strict=True))
-    return [known[ps[0]] if len(ps) == 1 else known[ps[0]] + known[ps[1]] for ps in parts]
+        ends = (np.searchsorted([x for x, _ in encoded.offsets], begins) * 4).tolist()
+        pieces.update((p, raw[a:b]) for p, a, b in zip(some, ends[:-1], ends[1:], strict=True))
+    for i, ps in zip(missing, parts, strict=True):
+        known[distinct[i]] = ids[i] = b"".join([pieces[p] for p in ps])
+    return ids
 
 
 def token_ids(texts: list[str | None], path: str):

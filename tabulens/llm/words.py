@@ -17,12 +17,12 @@ CHUNK = 4_000_000
 _MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
-def chunks(texts: list[str | None]):
-    """(first, last) index pairs of runs of texts with about CHUNK bytes."""
+def chunks(texts: list[str | None], most: int = CHUNK):
+    """(first, last) index pairs of runs of texts with about ``most`` characters."""
     start = size = 0
     for i, text in enumerate(texts):
         size += len(text or "")
-        if size >= CHUNK:
+        if size >= most:
             yield start, i + 1
             start, size = i + 1, 0
     if start < len(texts):
