@@ -31,7 +31,7 @@ from tabulens.llm.common import store, text_or_empty
 #: Documents with crc32(doc_id) mod FOLDS of 0 are never learned from; of the others, those with 1 teach the weights.
 FOLDS = 10
 #: Characters of text in a block, about.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 6_000_000
 #: Pseudo-count of the base distribution.
 ADD = 0.1
 ROUNDS = 40
