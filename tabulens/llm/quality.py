@@ -132,6 +132,17 @@ def judge(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The documents that are kept, with all columns of ``docs``. Their counts are made twice, once
+    for the fences and once for the verdict: this is less than a shuffle of the texts."""
+    own = ["lang", "source"]
+    limits = store(fences(counts(docs, own)), "fences")
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    carried = docs.select(F.struct(*[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)]).alias("__doc"), "text", *own)
+    judged = verdicts(counts(carried, ["__doc", *own]), limits).where("kept")
+    return judged.select(*[F.col(f"__doc.{n}").alias(c) for c, n in zip(docs.columns, names, strict=True)])
+
+
 OP4_SQL = r"""
 WITH texts AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 parts AS (
