@@ -1,8 +1,64 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, mixing and packing of documents.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) with what its predecessor kept and returns a DataFrame with
+the columns of documents; the last returns packed pieces. Stage outputs are written as Parquet and
+read again, so a lost executor costs a stage's tasks at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tabulens.llm.common import scratch_path, table
+from tabulens.llm.line_dedup import drop_boilerplate
+from tabulens.llm.mixing import mix
+from tabulens.llm.near_dedup import keep_one
+from tabulens.llm.packing import pack
+from tabulens.llm.quality import keep_good
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and their language's and source's fences."""
+    return keep_good(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their source's boilerplate lines."""
+    return drop_boilerplate(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near-duplicates."""
+    return keep_one(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target weight asks for."""
+    return mix(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their places in sequences."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("MinHash near-dedup", near_dedup),
+    ("mixing sources", mixing),
+    ("packing", packing),
+]
+
+#: Token ids and the near-duplicate relation cannot be had in SQL; tests compare stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; the last one's rows."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        path = scratch_path(spark, f"stage-{i}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
