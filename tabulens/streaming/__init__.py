@@ -1,0 +1 @@
+"""The profiler works on batches; there are no streaming operators."""
