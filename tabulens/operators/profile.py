@@ -72,7 +72,7 @@ def distinct_counts(df: DataFrame, approx: bool = False, columns: list[str] | No
     if not can:
         return names.withColumn("n_unique", F.lit(None).cast("long"))
     if approx:
-        found = per_column(df, can, lambda c: {"n_unique": F.approx_count_distinct(c)}).select("column", "n_unique")
+        found = per_column(df, can, lambda c: {"n_unique": F.approx_count_distinct(c, 0.02)}).select("column", "n_unique")
     else:
         hashed = long_values(df, can, lambda c: F.when(c.isNotNull(), F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit(1), c).alias("b"))))
         found = hashed.where("value is not null").distinct().groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
