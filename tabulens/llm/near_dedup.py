@@ -173,8 +173,8 @@ def _rest_links(groups: DataFrame, texts: DataFrame, linked: DataFrame) -> DataF
     return store(blocks.applyInArrow(_block_links, "a long, b long"), "rest_links")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+def _assigned(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, chars, n_shingles, component_id, kept."""
     schema = "doc_id long, chars long, n long, set_hash binary, sketch array<long>"
     sketches = store(docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_sketches, schema), "sketches")
     classes = _classes(sketches)
@@ -188,16 +188,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     linked = join_groups(joined.where("root is not null"), store(least, "least"), "root", "parts")
     found = linked.select("set_hash", F.col("least").alias("component_id"), "copies")
     found = store(found.union(joined.where("root is null").select("set_hash", "doc_id", "copies")), "components")
-    rows = sketches.select("doc_id", "n", "set_hash")
-    out = join_groups(rows.where("n > 0"), found, "set_hash", "copies").select("doc_id", "n", "component_id")
-    out = out.union(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    rows = sketches.select("doc_id", "chars", "n", "set_hash")
+    out = join_groups(rows.where("n > 0"), found, "set_hash", "copies").select("doc_id", "chars", "n", "component_id")
+    out = out.union(rows.where("n = 0").select("doc_id", "chars", "n", F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", "chars", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    return _assigned(docs).drop("chars")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that are the first of their group, with all columns of ``docs``. Of rows that
-    repeat both id and text one stays, unless the text has no words."""
-    kept = store(near_duplicates(docs).where("kept").select("doc_id").distinct(), "kept")
-    stays = docs.join(kept.withColumnRenamed("doc_id", "__id"), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
-    again = Window.partitionBy("doc_id", F.xxhash64("text"), F.when(~F.col("text").rlike(r"[^\x20\x09-\x0D]") | F.col("text").isNull(), F.monotonically_increasing_id()))
+    """The documents that are the first of their group, with all columns of ``docs``. Rows are known
+    by id and length. Of rows that repeat id and text one stays, unless the text has no words."""
+    kept = store(_assigned(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("chars").alias("__chars")).distinct(), "kept")
+    chars = F.coalesce(F.char_length(docs["text"].cast("string")), F.lit(0))
+    stays = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__id")) & (chars == F.col("__chars")), "left_semi")
+    blank = F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    again = Window.partitionBy("doc_id", F.xxhash64("text"), F.when(blank, F.monotonically_increasing_id()))
     return stays.withColumn("__again", F.row_number().over(again.orderBy("doc_id"))).where("__again = 1").drop("__again")
