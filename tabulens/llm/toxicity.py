@@ -32,7 +32,9 @@ FOLDS = 5
 SAMPLE, TERMS, TERM_BITS = 20_000, 4096, 24
 PREFIXES = (4, 5, 6, 7)
 COUNTS = (1, 2, 3, 5)
-FACTORS, ROUNDS, RATE, DECAY = 8, 300, 0.05, 1e-3
+FACTORS, ROUNDS, RATE = 8, 300, 0.05
+#: Pull towards zero of weights and of pair vectors; the vectors are many, so they are held more.
+DECAY, PAIR_DECAY = 1e-3, 1.0
 #: Terms of fewer labelled documents say nothing.
 MIN_DOCS = 3
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -110,7 +112,7 @@ def fit(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, n_terms: int, seed:
         slope = weight * (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - y)
         per_term = slope[rows]
         by_factor = per_term[:, None] * (sums[rows] - own)
-        slopes = [np.array([slope.sum()]), np.bincount(terms, per_term, n_terms) + DECAY / n_terms * w, np.stack([np.bincount(terms, by_factor[:, f], n_terms) for f in range(FACTORS)], axis=1) + 10 * DECAY / n_terms * v]
+        slopes = [np.array([slope.sum()]), np.bincount(terms, per_term, n_terms) + DECAY / max(n_terms, 1) * w, np.stack([np.bincount(terms, by_factor[:, f], n_terms) for f in range(FACTORS)], axis=1) + PAIR_DECAY / max(n_terms, 1) * v]
         for p, g, m, s in zip(params, slopes, means, squares, strict=True):
             m += 0.1 * (g - m)
             s += 0.001 * (g * g - s)
@@ -169,7 +171,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     # The deviation from the count expected at the overall share, in standard deviations.
     share = toxic / size if size else 0.0
     apart = F.abs(F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * max(share * (1 - share), 1e-9))
-    best = counts.where(F.col("n") >= MIN_DOCS).orderBy(apart.desc(), "term").limit(terms).select("term").toPandas()
+    # A term for two labelled documents at the most, as more would be learned by heart.
+    most = min(terms, max(64, size // 2))
+    best = counts.where(F.col("n") >= MIN_DOCS).orderBy(apart.desc(), "term").limit(most).select("term").toPandas()
     index = np.sort(best["term"].to_numpy(np.int64))
     picked = texts.mapInArrow(_picked_terms(index), "toxic int, terms array<long>").toPandas()
     lengths = picked["terms"].map(len).to_numpy(np.int64)
