@@ -10,7 +10,7 @@ DATA = "/root/testdata/sf0.001"
 
 def plain(value):
     """A value as text, alike for both engines."""
-    if value is None or value != value:
+    if value is None or type(value).__name__ == "NAType" or value != value:
         return "null"
     if isinstance(value, bool):
         return str(value)
