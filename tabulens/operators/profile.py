@@ -87,9 +87,10 @@ def column_types(df: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def dtype_histogram(df: DataFrame) -> DataFrame:
-    """dtype, columns."""
-    types = df.sparkSession.createDataFrame([(t,) for _, t in df.dtypes], "dtype string")
-    return types.groupBy("dtype").agg(F.count(F.lit(1)).alias("columns"))
+    """dtype, columns of that type and values present in them."""
+    types = df.sparkSession.createDataFrame([(c, t) for c, t in df.dtypes], "column string, dtype string")
+    present = per_column(nan_to_null(df), df.columns, lambda c: {"present": F.count(c)})
+    return present.join(F.broadcast(types), "column").groupBy("dtype").agg(F.count(F.lit(1)).alias("columns"), F.sum("present").alias("present"))
 
 
 def categorical_columns(df: DataFrame, max_unique: int = 15) -> DataFrame:

@@ -94,7 +94,7 @@ _query(
 _query(
     "dtype_histogram",
     lambda s, d: profile.dtype_histogram(_table(s, d, "part")),
-    "SELECT replace(replace(replace(lower(data_type), 'varchar', 'string'), 'integer', 'int'), 'double', 'double') AS dtype, count(*) AS columns FROM (SELECT column_name, column_type AS data_type FROM (DESCRIBE SELECT * FROM part)) GROUP BY ALL",
+    "SELECT dtype, count(*) AS columns, CAST(sum(present) AS BIGINT) AS present FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS dtype, count({c}) AS present FROM part" for c, t in _PART.items()) + ") GROUP BY dtype",
 )
 _DISTINCT = _each(ORDERS, "count(DISTINCT {c}) AS n_unique", "orders")
 _query("distinct_counts", lambda s, d: profile.distinct_counts(_table(s, d, "orders")).drop("position"), _DISTINCT)
@@ -329,6 +329,12 @@ _query(
     "SELECT 'no missing values' AS comment FROM (SELECT count(*) FROM orders)",
 )
 
+_query(
+    "model_features",
+    lambda s, d: profile.distinct_counts(_gappy(s, d), columns=profile.model_features(_gappy(s, d), "l_tax")).drop("position"),
+    f"WITH {GAPPY} " + _each([c for c in LINEITEM if c not in ("l_tax", "l_shipdate")], "count(DISTINCT {c}) AS n_unique", "gappy"),
+)
+
 # Prediction ----------------------------------------------------------------------------------
 
 _KEY = ("l_orderkey", "l_linenumber")
