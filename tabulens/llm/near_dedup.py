@@ -44,7 +44,7 @@ FULL = SKETCH * 75 // 100
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Rows of a group that one task compares with each other: unlinked members, and all members.
-BLOCK_LEFT, BLOCK_ALL = 512, 4096
+BLOCK_LEFT, BLOCK_ALL = 256, 1024
 #: Classes whose texts are fetched by a broadcast of their ids; more are fetched by a shuffle.
 FETCH_ROWS = 100_000
 
