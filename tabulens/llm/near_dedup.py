@@ -29,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulens.llm import words
@@ -202,9 +202,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents that are the first of their group, with all columns of ``docs``. Rows are known
     by id and length. Of rows that repeat id and text one stays, unless the text has no words."""
-    kept = store(_assigned(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("chars").alias("__chars")).distinct(), "kept")
-    chars = F.coalesce(F.char_length(docs["text"].cast("string")), F.lit(0))
-    stays = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__id")) & (chars == F.col("__chars")), "left_semi")
+    kept = _assigned(docs).where("kept").select(*_row_key(F.col("doc_id"), F.col("chars"))).distinct()
+    keyed = docs.select("*", *_row_key(docs["doc_id"], F.coalesce(F.char_length(docs["text"].cast("string")), F.lit(0)).cast("long")))
+    stays = keyed.join(store(kept, "kept"), ["__id", "__no_id", "__chars"], "left_semi")
+    # Dealt by the join's keys already: the texts are shuffled once.
     blank = F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    again = Window.partitionBy("doc_id", F.xxhash64("text"), F.when(blank, F.monotonically_increasing_id()))
-    return stays.withColumn("__again", F.row_number().over(again.orderBy("doc_id"))).where("__again = 1").drop("__again")
+    again = Window.partitionBy("__id", "__no_id", "__chars", F.xxhash64("text"), F.when(blank, F.monotonically_increasing_id()))
+    return stays.withColumn("__again", F.row_number().over(again.orderBy("__id"))).where("__again = 1").drop("__again", "__id", "__no_id", "__chars")
+
+
+def _row_key(doc_id: Column, chars: Column) -> list[Column]:
+    return [F.coalesce(doc_id, F.lit(0)).alias("__id"), doc_id.isNull().alias("__no_id"), chars.alias("__chars")]
