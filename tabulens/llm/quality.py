@@ -94,12 +94,13 @@ def counts(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 def fences(counted: DataFrame) -> DataFrame:
     """lang, source and for each rate its fence(s), from documents with a word."""
-    rates = {r: F.expr(f"cast({how.split(' / ')[0]} as double) / {how.split(' / ')[1]}") for r, (how, _, _) in RATES.items()}
+    # Documents without words have null rates. A filter on them would be moved below the counts, and these made twice.
+    rates = {r: F.expr(f"try_divide(cast({how.split(' / ')[0]} as double), {how.split(' / ')[1]})") for r, (how, _, _) in RATES.items()}
     sketched = (
-        counted.where("n_words > 0")
-        .select("lang", "source", *[v.alias(r) for r, v in rates.items()])
+        counted.select("lang", "source", *[v.alias(r) for r, v in rates.items()])
         .groupBy("lang", "source")
-        .agg(*[F.kll_sketch_agg_double(r, F.lit(SKETCH_K)).alias(r) for r in RATES])
+        .agg(F.count("word_length").alias("n"), *[F.kll_sketch_agg_double(r, F.lit(SKETCH_K)).alias(r) for r in RATES])
+        .where("n > 0")
     )
     out = []
     for r, (_, least, both) in RATES.items():
@@ -122,7 +123,7 @@ def verdicts(counted: DataFrame, limits: DataFrame) -> DataFrame:
         inside &= rate <= F.col(f"{r}_high")
         if both:
             inside &= rate >= F.col(f"{r}_low")
-    return joined.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
+    return joined.withColumn("base_failed", base).withColumn("kept", F.coalesce(~F.col("base_failed") & inside, F.lit(False)))
 
 
 def judge(docs: DataFrame) -> DataFrame:
