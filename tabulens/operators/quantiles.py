@@ -1,8 +1,8 @@
 """Exact quantiles of many columns without sorting or gathering a column.
 
-A first pass brackets each wanted quantile between two approximate ones. A second counts the
-distinct values inside the brackets (a few parts in ten thousand of the rows) and how many values
-lie below them; the order statistics follow from running counts over those values.
+A first pass brackets each wanted quantile between two approximate ones. A second counts the values
+below each bracket, and a third the distinct values inside (a few parts in ten thousand of the
+rows); the order statistics follow from running counts over those. All passes serve all columns.
 """
 
 from __future__ import annotations
@@ -23,34 +23,45 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float], approx: boo
     """
     spark = df.sparkSession
     wanted = probs if approx else [min(1.0, max(0.0, p + d)) for p in probs for d in (-2 / ACCURACY, 2 / ACCURACY)]
-    first = per_column(df, columns, lambda c: {"n": F.count(c), "q": F.percentile_approx(c.cast("double"), wanted, ACCURACY)})
+    number = lambda c: c.cast("double")
+    first = per_column(df, columns, lambda c: {"n": F.count(c), "q": F.percentile_approx(number(c), wanted, ACCURACY), "lo": F.min(number(c)), "hi": F.max(number(c))})
     if approx:
-        return first
-    rows = first.collect()  # a row per column
-    inside = []
-    for r in rows:
+        return first.drop("lo", "hi")
+    rows = {r.position: r for r in first.collect()}  # a row per column
+    # A bracket for each quantile between the extremes; these are known.
+    brackets = []
+    for r in rows.values():
         for i, p in enumerate(probs):
-            if r.n:
-                # Neighbours of the two nearest ranks are in the bracket too where the rank is exact.
-                low = float("-inf") if p - 2 / ACCURACY <= 0 else r.q[2 * i]
-                high = float("inf") if p + 2 / ACCURACY >= 1 else r.q[2 * i + 1]
-                inside.append((r.position, i, r.column, low, high))
-    values = []
-    for position, i, c, low, high in inside:
-        v = q(c).cast("double")
-        bounded = F.when(v < low, F.lit(float("-inf"))).when(v <= high, v)
-        values.append(F.struct(F.lit(position).alias("position"), F.lit(i).alias("i"), bounded.alias("v")))
-    sizes = spark.createDataFrame([(r.position, r.column, r.n) for r in rows], "position int, column string, n long")
-    if not values:
-        return sizes.withColumn("q", F.lit(None).cast("array<double>"))
-    counts = df.select(F.inline(F.array(*values))).where("v is not null").groupBy("position", "i", "v").agg(F.count(F.lit(1)).alias("k"))
-    upto = Window.partitionBy("position", "i").orderBy("v")
-    ranked = counts.withColumn("last", F.sum("k").over(upto) - 1).join(F.broadcast(sizes), "position")
-    prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("i") + 1)
-    at = prob * (F.col("n") - 1)
-    pick = lambda rank: F.min(F.when(F.col("last") >= rank, F.col("v")))
-    ends = ranked.withColumns({"lo": F.floor(at), "hi": F.ceil(at), "part": at - F.floor(at)})
-    ends = ends.groupBy("position", "i").agg(pick(F.col("lo")).alias("a"), pick(F.col("hi")).alias("b"), F.first("part").alias("part"))
-    ends = ends.select("position", "i", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("x"))
-    listed = ends.groupBy("position").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("q"))
-    return sizes.join(listed, "position", "left")
+            if r.n and 0 < p < 1:
+                low = r.lo if p <= 2 / ACCURACY else r.q[2 * i]
+                high = r.hi if p >= 1 - 2 / ACCURACY else r.q[2 * i + 1]
+                brackets.append((r.position, i, low, high))
+    found = {}
+    if brackets:
+        below = df.agg(F.array(*[F.count_if(number(q(columns[c])) < low) for c, _, low, _ in brackets])).first()[0]
+        ends = []
+        for (c, i, low, high), k in zip(brackets, below, strict=True):
+            at = probs[i] * (rows[c].n - 1)
+            ends.append((c, i, low, high, k, int(at), int(at) + (at > int(at)), at - int(at)))
+        found = spark.createDataFrame(ends, "position int, i int, low double, high double, below long, a long, b long, part double")
+        inside = []
+        for c in sorted({c for c, *_ in brackets}):
+            v = number(q(columns[c]))
+            hit = F.lit(False)
+            for low, high in sorted({(low, high) for k, _, low, high in brackets if k == c}):
+                hit |= v.between(low, high)
+            inside.append(F.when(hit, F.struct(F.lit(c).alias("position"), v.alias("v"))))
+        values = df.select(F.inline(F.filter(F.array(*inside), lambda x: x.isNotNull()))).groupBy("position", "v").agg(F.count(F.lit(1)).alias("k"))
+        held = values.join(F.broadcast(found), "position").where(F.col("v").between(F.col("low"), F.col("high")))
+        upto = Window.partitionBy("position", "i").orderBy("v")
+        ranked = held.withColumn("last", F.col("below") + F.sum("k").over(upto) - 1)
+        pick = lambda rank: F.min(F.when(F.col("last") >= F.col(rank), F.col("v")))
+        found = ranked.groupBy("position", "i").agg(pick("a").alias("x"), pick("b").alias("y"), F.first("part").alias("part"))
+        between = F.when(F.col("x") == F.col("y"), F.col("x")).otherwise(F.col("x") + (F.col("y") - F.col("x")) * F.col("part"))
+        found = found.groupBy("position").agg(F.map_from_entries(F.collect_list(F.struct("i", between.alias("x")))).alias("m"))
+    else:
+        found = spark.createDataFrame([], "position int, m map<int,double>")
+    known = [(r.position, r.column, r.n, r.lo, r.hi) for r in rows.values()]
+    sizes = spark.createDataFrame(known, "position int, column string, n long, lo double, hi double").join(found, "position", "left")
+    value = [F.col("lo") if p <= 0 else F.col("hi") if p >= 1 else F.try_element_at("m", F.lit(i)) for i, p in enumerate(probs)]
+    return sizes.select("position", "column", "n", F.when(F.col("n") > 0, F.array(*value)).alias("q"))
