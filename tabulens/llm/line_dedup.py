@@ -1,19 +1,20 @@
 """Boilerplate lines by their frequency within a site.
 
-Pages are grouped by host. For each line the pages of the host that contain it are counted and
-divided by the host's pages; lines over RATIO are boilerplate there and are taken out of all its
-pages. A page has each line once in the counts, however often it repeats it, and lines are
-counted by a 128-bit hash with partial aggregation, so a line that is on every page shuffles one
-row a task. A host can have only (lines a page) / RATIO boilerplate lines; they are joined to its
-pages as one array.
+Pages are grouped by host. For each line the different pages of the host that contain it are counted
+and divided by the host's different pages; lines over RATIO are boilerplate there and are taken out of
+all its pages. A page has each line once in the counts, however often it repeats it, and pages with
+the same text are one page, so that copies of a page do not make its lines boilerplate. Lines and
+pages are told apart by 128-bit hashes; counts are aggregated first by line and page, so a line that
+is on every page is dealt out by its pages, then partially by line. A host can have only
+(lines a page) / RATIO boilerplate lines; they are joined to its pages as one array.
 
 Lines are compared with outer white space taken off; blank lines are never boilerplate. Hosts
 under MIN_PAGES pages have no boilerplate, nor have lines on fewer than MIN_COUNT pages: there a
-high ratio says nothing. A page that would lose over MAX_LOSS of its words keeps its lines: such a
-page is a copy of others rather than a page with boilerplate, and is left to deduplication.
+high ratio says nothing. A page is reported as spared if it keeps lines that would be over the ratio
+with each copy counted; such copies are left to deduplication.
 
-Defined results: a null text stays null and counts as a page without lines; a null host is a host
-of its own; repeated rows are pages each; an empty table gives no rows. Other columns pass
+Defined results: a null text stays null and counts as an empty page; a null host is a host
+of its own; repeated rows are one page; an empty table gives no rows. Other columns pass
 through ``drop_boilerplate`` under any name.
 """
 
@@ -22,11 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulens.llm.common import WORD, bounded_broadcast, store, text_or_empty
+from tabulens.llm.common import bounded_broadcast, store, text_or_empty
 
 RATIO = 0.1
 MIN_PAGES, MIN_COUNT = 20, 5
-MAX_LOSS = 0.5
 #: Hosts with boilerplate up to so many are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 20_000
 BLANKS = " \t\n\x0b\f\r"
@@ -41,34 +41,36 @@ def _hash(line: Column) -> Column:
 
 
 def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO) -> DataFrame:
-    """host, pages and the hashes of the host's boilerplate lines, for hosts that have any."""
+    """host, the hashes of its boilerplate lines and of lines over the ratio by copies alone, for hosts that have any."""
     pages = docs.select(F.col(host).cast("string").alias("host"), text_or_empty().alias("text"))
     lines = F.array_distinct(F.filter(F.transform(F.split("text", "\n"), _bare), lambda x: x != ""))
-    each = pages.select("host", F.explode(lines).alias("line")).select("host", _hash(F.col("line")).alias("h"))
-    counts = each.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_COUNT)
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= MIN_PAGES)
+    each = pages.select("host", _hash(F.col("text")).alias("p"), F.explode(lines).alias("line")).select("host", "p", _hash(F.col("line")).alias("h"))
+    # One row per line and different page, with the page's copies.
+    counts = each.groupBy("host", "h", "p").agg(F.count(F.lit(1)).alias("m"))
+    counts = counts.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("rows")).where(F.col("rows") >= MIN_COUNT)
+    sizes = pages.groupBy("host", _hash(F.col("text")).alias("p")).agg(F.count(F.lit(1)).alias("m"))
+    sizes = sizes.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.sum("m").alias("all_rows")).where(F.col("all_rows") >= MIN_PAGES)
     # One row per host: counted and bounded when used.
     few = bounded_broadcast(store(sizes, "hosts").withColumnRenamed("host", "__host"), BROADCAST_ROWS)
-    often = counts.join(few, F.col("host").eqNullSafe(F.col("__host"))).where(F.col("n") > F.col("pages") * F.lit(ratio))
-    return often.groupBy("host", "pages").agg(F.collect_list("h").alias("lines"))
+    often = (F.col("pages") >= MIN_PAGES) & (F.col("n") >= MIN_COUNT) & (F.col("n") > F.col("pages") * F.lit(ratio))
+    copied = ~often & (F.col("rows") > F.col("all_rows") * F.lit(ratio))
+    found = counts.join(few, F.col("host").eqNullSafe(F.col("__host"))).where(often | copied)
+    return found.groupBy("host").agg(F.collect_list(F.when(often, F.col("h"))).alias("lines"), F.collect_list(F.when(copied, F.col("h"))).alias("copied"))
 
 
 def split_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO) -> DataFrame:
-    """``docs`` with __kept_text (null where the text is), __dropped (lines) and __spared (a page that keeps its lines)."""
-    known = store(boilerplate(docs, host, ratio), "boilerplate").select(F.col("host").alias("__host"), F.col("lines").alias("__lines"))
+    """``docs`` with __kept_text (null where the text is), __dropped (lines) and __spared (a page with lines that copies alone bring over the ratio)."""
+    known = store(boilerplate(docs, host, ratio), "boilerplate").select(F.col("host").alias("__host"), F.col("lines").alias("__lines"), F.col("copied").alias("__copied"))
     joined = docs.join(bounded_broadcast(known, BROADCAST_ROWS), docs[host].cast("string").eqNullSafe(F.col("__host")), "left").drop("__host")
     split = joined.withColumn("__split", F.split(text_or_empty(), "\n"))
     kept = F.filter("__split", lambda x: ~F.array_contains(F.col("__lines"), _hash(_bare(x))))
-    some = F.col("__lines").isNotNull()
-    split = split.withColumn("__rest", F.when(some, kept).otherwise(F.col("__split")))
+    split = split.withColumn("__rest", F.when(F.size("__lines") > 0, kept).otherwise(F.col("__split")))
     gone = F.size("__split") - F.size("__rest")
-    joined_rest = F.array_join("__rest", "\n")
-    left = F.when(gone > 0, F.regexp_count(joined_rest, F.lit(WORD)))
-    spared = F.coalesce(left < (1 - MAX_LOSS) * F.regexp_count(text_or_empty(), F.lit(WORD)), F.lit(False))
-    split = split.withColumn("__spared", spared)
-    text = F.when(F.col("text").isNull() | F.col("__spared") | (gone == 0), F.col("text")).otherwise(joined_rest)
-    out = split.withColumn("__kept_text", text).withColumn("__dropped", F.when(F.col("__spared"), F.lit(0)).otherwise(gone))
-    return out.drop("__lines", "__split", "__rest")
+    only_copied = F.exists("__split", lambda x: F.array_contains(F.col("__copied"), _hash(_bare(x))))
+    spared = F.when(F.size("__copied") > 0, only_copied).otherwise(F.lit(False))
+    text = F.when(F.col("text").isNull() | (gone == 0), F.col("text")).otherwise(F.array_join("__rest", "\n"))
+    out = split.withColumn("__kept_text", text).withColumn("__dropped", gone).withColumn("__spared", spared)
+    return out.drop("__lines", "__copied", "__split", "__rest")
 
 
 def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO) -> DataFrame:

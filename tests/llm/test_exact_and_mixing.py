@@ -152,6 +152,16 @@ def test_line_dedup_takes_boilerplate_only(spark):
     assert cleaned.where("doc_id = 3").first().n_chars == len(got[3].text)
 
 
+def test_line_dedup_takes_most_of_a_short_page(spark):
+    footer = "all of these words are on each page of the host"
+    pages = [(i, f"own {i}\n{footer}", "en", "host", 0) for i in range(30)]
+    # Copies do not count: a line on one page of many copies stays, the footer on it goes.
+    copies = [(100 + i, f"the same page\n{footer}", "en", "host", 0) for i in range(200)]
+    got = {r.doc_id: r for r in line_dedup.lines_report(docs_of(spark, pages + copies)).collect()}
+    assert all(got[i].text == f"own {i}" and got[i].dropped_lines == 1 and not got[i].spared for i in range(30))
+    assert all(got[100 + i].text == "the same page" and got[100 + i].spared for i in range(200))
+
+
 def test_line_dedup_edges(spark, edge):
     assert line_dedup.lines_report(edge).count() == len(EDGE)
     assert line_dedup.drop_boilerplate(edge).columns == edge.columns
