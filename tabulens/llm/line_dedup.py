@@ -8,9 +8,8 @@ pages are told apart by 128-bit hashes; counts are aggregated first by line and
 is on every page is dealt out by its pages, then partially by line. A host can have only
 (lines a page) / RATIO boilerplate lines; they are joined to its pages as one array.
 
-Lines are compared with outer white space taken off; blank lines are never boilerplate. Hosts
-under MIN_PAGES pages have no boilerplate, nor have lines on fewer than MIN_COUNT pages: there a
-high ratio says nothing. A page is reported as spared if it keeps lines that would be over the ratio
+Lines are compared with outer white space taken off; blank lines are never boilerplate. The ratio
+decides at every host size, for lines on at least MIN_COUNT different pages. A page is reported as spared if it keeps lines that would be over the ratio
 with each copy counted; such copies are left to deduplication.
 
 Defined results: a null text stays null and counts as an empty page; a null host is a host
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from tabulens.llm.common import bounded_broadcast, store, text_or_empty
 
 RATIO = 0.1
-MIN_PAGES, MIN_COUNT = 20, 5
+MIN_COUNT = 5
 #: Hosts with boilerplate up to so many are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 20_000
 BLANKS = " \t\n\x0b\f\r"
@@ -49,10 +48,10 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO) ->
     counts = each.groupBy("host", "h", "p").agg(F.count(F.lit(1)).alias("m"))
     counts = counts.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("rows")).where(F.col("rows") >= MIN_COUNT)
     sizes = pages.groupBy("host", _hash(F.col("text")).alias("p")).agg(F.count(F.lit(1)).alias("m"))
-    sizes = sizes.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.sum("m").alias("all_rows")).where(F.col("all_rows") >= MIN_PAGES)
+    sizes = sizes.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.sum("m").alias("all_rows"))
     # One row per host: counted and bounded when used.
     few = bounded_broadcast(store(sizes, "hosts").withColumnRenamed("host", "__host"), BROADCAST_ROWS)
-    often = (F.col("pages") >= MIN_PAGES) & (F.col("n") >= MIN_COUNT) & (F.col("n") > F.col("pages") * F.lit(ratio))
+    often = (F.col("n") >= MIN_COUNT) & (F.col("n") > F.col("pages") * F.lit(ratio))
     copied = ~often & (F.col("rows") > F.col("all_rows") * F.lit(ratio))
     found = counts.join(few, F.col("host").eqNullSafe(F.col("__host"))).where(often | copied)
     return found.groupBy("host").agg(F.collect_list(F.when(often, F.col("h"))).alias("lines"), F.collect_list(F.when(copied, F.col("h"))).alias("copied"))

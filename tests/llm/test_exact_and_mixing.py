@@ -162,6 +162,13 @@ def test_line_dedup_takes_most_of_a_short_page(spark):
     assert all(got[100 + i].text == "the same page" and got[100 + i].spared for i in range(200))
 
 
+@pytest.mark.parametrize("n", [5, 19, 20, 49])
+def test_line_dedup_at_any_host_size(spark, n):
+    pages = [(i, f"own {i}\nfooter of the host", "en", "host", 0) for i in range(n)]
+    got = line_dedup.lines_report(docs_of(spark, pages)).collect()
+    assert sorted(r.text for r in got) == sorted(f"own {i}" for i in range(n))
+
+
 def test_line_dedup_edges(spark, edge):
     assert line_dedup.lines_report(edge).count() == len(EDGE)
     assert line_dedup.drop_boilerplate(edge).columns == edge.columns
