@@ -1,8 +1,9 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Segments of a text (its lines, its paragraphs and the whole text) that hold a key term are turned into
+Segments of a text (its lines, its paragraphs and the whole text) that hold a gate term are turned into
 TF-IDF vectors and compared with the templates' vectors by joins on terms; only non-zero products
-are formed. Document frequencies of the templates' terms are counted over all texts; a term in no
+are formed. Gate terms are the rarest terms of each template, so many that the terms left out cannot
+make a cosine of LINE_COSINE by themselves; so no segment that reaches it is passed over. Document frequencies of the templates' terms are counted over all texts; a term in no
 template counts as unseen, so foreign words lower a cosine. A text's own licence is that of its
 best segment from LINE_COSINE up. A text that as a whole is a licence (from FILE_COSINE up) governs
 its directory: files without a licence of their own take that of the nearest directory upwards,
@@ -26,7 +27,7 @@ from tabulens.llm.common import bounded_broadcast, store, text_or_empty
 LINE_COSINE, FILE_COSINE = 0.7, 0.85
 #: Governing or inheriting directories up to so many are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
-#: A segment is compared if it has one of these words (or one that begins with it, if it ends in *).
+#: The gate of the SQL: a segment is compared if it has one of these words (or one that begins with it, if it ends in *).
 KEY_TERMS = ("licen*", "copyright*", "reserved", "warrant*", "copyleft", "gpl*", "agpl*", "lgpl*", "bsd", "unlicense", "relicens*", "sublicen*", "permission*", "cc", "creativecommons")
 
 #: Usual notices and the openings of licence files, by SPDX id.
@@ -74,6 +75,29 @@ def _key_pattern() -> str:
     return r"\b(" + "|".join(re.escape(k[:-1]) if k.endswith("*") else rf"{k}\b" for k in KEY_TERMS) + ")"
 
 
+def gate_terms(weights: list[tuple[int, str, float, float]], cosine: float) -> list[str]:
+    """Terms of which every segment with ``cosine`` to a template has one; ``weights``: template, term, idf, weight in the unit vector.
+
+    A segment's cosine to a template is at most the length of the template's part in the terms they share.
+    """
+    gate: set[str] = set()
+    for number in {w[0] for w in weights}:
+        # From the most common term on, what may be left out. The margin is for rounding.
+        out = 0.0
+        for _, _, weight, term in sorted((idf, term, weight, term) for n, term, idf, weight in weights if n == number):
+            out += weight * weight
+            if out >= cosine * cosine - 1e-6:
+                gate.add(term)
+    return sorted(gate)
+
+
+def gate_pattern(terms: list[str]) -> str:
+    """Whole terms of lower-cased text; those with the same first character are tried together."""
+    firsts = sorted({t[0] for t in terms})
+    groups = [c + "(?:" + "|".join(t[1:] for t in terms if t[0] == c) + ")(?![a-z0-9])" for c in firsts]
+    return "(?<![a-z0-9])(?=[" + "".join(firsts) + "])(?:" + "|".join(groups) + ")"
+
+
 def template_terms() -> list[tuple[int, str, str, int]]:
     """(template number, licence, term, count)."""
     rows = []
@@ -87,26 +111,34 @@ def terms_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda x: x != "")
 
 
-def segments(text: Column) -> Column:
-    """(text, whether it is the whole text) for each distinct line and paragraph with a key term, and the whole text."""
+def segments(text: Column, pattern: str) -> Column:
+    """(text, whether it is the whole text) for each distinct line and paragraph that matches, and the whole text."""
     parts = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n[\x20\x09-\x0D]*\n")))
-    parts = F.filter(parts, lambda x: F.lower(x).rlike(_key_pattern()))
+    parts = F.filter(parts, lambda x: F.lower(x).rlike(pattern))
     each = F.transform(parts, lambda x: F.struct(x.alias("part"), F.lit(False).alias("whole")))
-    return F.when(F.lower(text).rlike(_key_pattern()), F.concat(each, F.array(F.struct(text.alias("part"), F.lit(True).alias("whole")))))
+    return F.when(F.lower(text).rlike(pattern), F.concat(each, F.array(F.struct(text.alias("part"), F.lit(True).alias("whole")))))
 
 
-def _cosines(scanned: DataFrame, n_docs: int) -> DataFrame:
-    """row, whole, licence, cosine of each segment and template that share a term."""
-    spark = scanned.sparkSession
+def _weights(base: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Stored tables of the templates' terms with their idf and of the templates' unit vectors, and the number of texts."""
     values = ", ".join(f"({n}, '{k}', '{t}', {c})" for n, k, t, c in template_terms())
-    templates = spark.sql(f"SELECT * FROM VALUES {values} AS t(template, licence, term, tf)")
-    found = scanned.select(F.explode("vocabulary").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    unseen = F.log(F.lit(n_docs + 1.0)) + 1
+    templates = base.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(template, licence, term, tf)")
+    vocabulary = F.array(*[F.lit(t) for t in sorted({t for _, _, t, _ in template_terms()})])
+    # Each text counts once for the empty term.
+    own = F.concat(F.array_intersect(terms_of(F.col("text")), vocabulary), F.array(F.lit("")))
+    found = store(base.select(F.explode(own).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
+    n_docs = (found.where("term = ''").first() or {"df": 0})["df"]
     # As many rows as the fixed templates have terms.
     idf = store(templates.select("term").distinct().join(found, "term", "left").select("term", (F.log((n_docs + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1).alias("idf")), "idf")
     own = templates.join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
     norms = own.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    own = store(own.join(norms, "template").select("template", "licence", "term", (F.col("w") / F.col("norm")).alias("tw")), "templates")
+    return idf, store(own.join(norms, "template").select("template", "licence", "term", "idf", (F.col("w") / F.col("norm")).alias("tw")), "templates"), n_docs
+
+
+def _cosines(scanned: DataFrame, idf: DataFrame, own: DataFrame, n_docs: int) -> DataFrame:
+    """row, whole, licence, cosine of each segment and template that share a term."""
+    unseen = F.log(F.lit(n_docs + 1.0)) + 1
+    own = own.drop("idf")
     parts = scanned.where("segments is not null").select("row", F.posexplode("segments").alias("part", "s"))
     words = parts.select("row", "part", F.col("s.whole").alias("whole"), F.explode(terms_of(F.col("s.part"))).alias("term"))
     weighed = words.groupBy("row", "part", "whole", "term").agg(F.count(F.lit(1)).alias("tf")).join(F.broadcast(idf), "term", "left")
@@ -123,14 +155,16 @@ def _best(cosine: str = "cosine", licence: str = "licence") -> Column:
 
 def scan(files: DataFrame, doc_id: str, path: Column, text: str = "text") -> DataFrame:
     """doc_id, path, licence, cosine, inherited_licence, inherited_from, one row per file; ``path`` has / between parts."""
-    vocabulary = F.array(*[F.lit(t) for t in sorted({t for _, _, t, _ in template_terms()})])
     base = files.select(F.col(doc_id).alias("doc_id"), path.alias("path"), text_or_empty(text).alias("text"))
+    idf, templates, n_docs = _weights(base)
+    # A row per term of the fixed templates.
+    gate = gate_terms([(r.template, r.term, r.idf, r.tw) for r in templates.collect()], LINE_COSINE)
     scanned = base.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "path", F.regexp_replace("path", "/?[^/]*$", "").alias("folder"),
-        F.array_intersect(F.split(F.lower("text"), "[^a-z0-9]+"), vocabulary).alias("vocabulary"), segments(F.col("text")).alias("segments"),
+        segments(F.col("text"), gate_pattern(gate)).alias("segments"),
     )
     scanned = store(scanned, "scanned")
-    cosines = store(_cosines(scanned, scanned.count()), "cosines")
+    cosines = store(_cosines(scanned, idf, templates, n_docs), "cosines")
     own = cosines.where(F.round("cosine", 9) >= LINE_COSINE).groupBy("row").agg(_best().alias("b"))
     own = store(own.select(F.col("row").alias("__row"), F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine")), "own")
     whole = cosines.where("whole").where(F.round("cosine", 9) >= FILE_COSINE)

@@ -190,6 +190,20 @@ def test_licence_scan(spark):
     }
 
 
+def test_each_template_finds_its_licence(spark):
+    own = [(f"{k} {i}", f"d{k}{i}/f", f"some prose\n{t}\nmore prose", k) for k, ts in license_scan.TEMPLATES.items() for i, t in enumerate(ts)]
+    rest = [(f"p{i}", f"p{i}/f", f"the work of a {i} to be under this and is or not in all of it", None) for i in range(200)]
+    df = spark.createDataFrame(own + rest, "name string, path string, body string, wanted string")
+    got = {r.doc_id: r.licence for r in license_scan.scan(df, "name", F.col("path"), "body").collect()}
+    assert got == {r[0]: r[3] for r in own + rest}
+
+
+def test_gate_terms_bound_the_cosine():
+    weights = [(0, "the", 1.0, 0.6), (0, "a", 1.5, 0.5), (0, "rare", 9.0, 0.6245), (1, "x", 2.0, 1.0)]
+    assert license_scan.gate_terms(weights, 0.7) == ["a", "rare", "x"]
+    assert license_scan.gate_terms(weights, 0.8) == ["rare", "x"]
+
+
 def test_licence_scan_edges(spark, edge):
     assert license_scan.scan_documents(edge).count() == len(EDGE)
     assert license_scan.scan_documents(docs_of(spark, [])).count() == 0
