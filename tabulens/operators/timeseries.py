@@ -84,9 +84,11 @@ def trend_mean(df: DataFrame, column: str, value: str, unit: str | None = None)
     return df.where(q(column).isNotNull()).groupBy(at.alias("time")).agg(F.avg(q(value).cast("double")).alias("mean")).orderBy("time")
 
 
-def trend_points(df: DataFrame, column: str, value: str, key: Column, max_points: int = 10_000) -> DataFrame:
-    """time, value points; of more than ``max_points`` those whose key hashes lowest, the same ones each time."""
+def trend_points(df: DataFrame, column: str, value: str, key: Column, max_points: int | None = 10_000) -> DataFrame:
+    """time, value points; of more than ``max_points`` those whose key hashes lowest, the same ones each time. All points for None."""
     points = nan_to_null(df).where(q(column).isNotNull() & q(value).isNotNull()).select(q(column).alias("time"), q(value).alias("value"), F.xxhash64(key).alias("h"))
+    if max_points is None:
+        return points.select("time", "value")
     return points.orderBy("h", "time", "value").limit(max_points).select("time", "value")
 
 

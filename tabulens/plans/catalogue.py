@@ -284,7 +284,7 @@ _query(
     lambda s, d: timeseries.trend_count(_table(s, d, "orders").select(F.year("o_orderdate").alias("year")), "year"),
     "SELECT CAST(year(o_orderdate) AS INTEGER) AS time, count(*) AS n FROM orders GROUP BY 1",
 )
-_query("trend_points", lambda s, d: timeseries.trend_points(_table(s, d, "events"), "ts", "value", F.col("event_id"), 10_000_000), "SELECT ts AS time, value FROM events")
+_query("trend_points", lambda s, d: timeseries.trend_points(_table(s, d, "events"), "ts", "value", F.col("event_id"), None), "SELECT ts AS time, value FROM events")
 _query(
     "sparkline",
     lambda s, d: _rounded(timeseries.sparkline(_table(s, d, "events"), "value", "event_id")),
@@ -313,6 +313,17 @@ _query(
     lambda s, d: narrative.dataset_summary(_table(s, d, "orders")).where("line <= 2"),
     "SELECT 1 AS line, 'size' AS topic, count(*) || ' rows, 6 columns' AS text FROM orders UNION ALL SELECT 2, 'missing', '0 columns with missing values' FROM (SELECT count(*) FROM orders)",
 )
+# The other lines of the same summary; summary_lines has those its SQL states.
+_query(
+    "summary_details",
+    lambda s, d: narrative.dataset_summary(_table(s, d, "orders")).where("line > 2"),
+    """WITH long AS (
+      SELECT 2 AS position, 'o_orderstatus' AS name, o_orderstatus AS v FROM orders UNION ALL SELECT 5, 'o_orderpriority', o_orderpriority FROM orders
+    ),
+    counted AS (SELECT position, name, v, row_number() OVER (PARTITION BY name ORDER BY count(*) DESC, v) AS rank, count(*) OVER (PARTITION BY name) AS n FROM long GROUP BY position, name, v)
+    SELECT 3 AS line, 'types' AS topic, 'bigint: 2, double: 1, string: 2, timestamp_ntz: 1' AS text FROM (SELECT count(*) FROM orders)
+    UNION ALL SELECT 4 + position, 'category', name || ' (' || n || ' values): ' || string_agg(v, ', ' ORDER BY rank) FROM counted WHERE rank <= 5 GROUP BY position, name, n""",
+)
 _query(
     "distribution_comments",
     lambda s, d: narrative.distribution_comments(_table(s, d, "lineitem"), ["l_quantity"]),
@@ -342,7 +353,7 @@ _KEY = ("l_orderkey", "l_linenumber")
 
 def _forest(s: SparkSession, d: str, target: str):
     df = _table(s, d, "lineitem").drop("l_shipdate")
-    return predict.predict(df, target, F.struct(*_KEY), trees=20, depth=6)
+    return predict.predict(df, target, F.struct(*_KEY))
 
 
 _query("predict_class", lambda s, d: _forest(s, d, "l_returnflag").metrics)

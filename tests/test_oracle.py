@@ -25,3 +25,14 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 8
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_registered_queries_are_whole(spark):
+    from tabulens.operators import predict
+    from tabulens.plans import catalogue
+
+    forest = catalogue._forest(spark, DATA, "l_returnflag").model.stages[-1]
+    assert (forest.getNumTrees, forest.getMaxDepth()) == (predict.TREES, predict.DEPTH)
+    assert "Limit" not in QUERIES["trend_points"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    topics = [r.topic for name in ("summary_lines", "summary_details") for r in QUERIES[name](spark, DATA).orderBy("line").collect()]
+    assert topics == ["size", "missing", "types", "category", "category"]
