@@ -3,7 +3,9 @@
 Counts per document are expressions on its own row. Rates derived from them go into one KLL
 quantile sketch per (lang, source) and rate; sketches merge, so a source with a third of all
 rows is summed up where its rows lie and shuffles one sketch per task. Upper and lower fences
-come from the sketches' quartiles, and documents are filtered by a join with the fences.
+come from the sketches' quartiles, and documents are filtered by a join with the fences. The fence
+on repeated words is at least 3 * 0.07 = 0.21, so the base rule, which stops at MAX_REPEATED
+percent, decides on them alone.
 
 Defined results: a null or blank text has no words, fails the base rule and is not kept; null
 lang or source form groups of their own; repeated rows count each; an empty table gives no
