@@ -36,6 +36,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/tabulens/{name}-{uuid.uuid4().hex}"
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Delete what the operators have stored in the shared folder. Only for when no result that still
+    reads from there is used any more: results of operators are lazy."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/tabulens")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps start from files that
     outlive any executor, and values such as row numbers no longer change when recomputed."""
@@ -44,10 +51,15 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_broadcast(df: DataFrame, limit: int) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``limit`` rows, else ``df`` as it is, so
-    that Spark shuffles both sides. ``df`` should be a stored table, as its rows are counted."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def keyed(*columns: Column) -> Column:
+    """One key that is never null for columns that may be: equal keys for equal values, null equal to null."""
+    return F.struct(*[x for c in columns for x in (c.isNull(), F.coalesce(c.cast("string"), F.lit("")))])
+
+
+def hot_keys(sizes: DataFrame, size: str) -> Column:
+    """Whether a row of ``sizes``, a stored table with one row per key, is a key of over 1/HOT of all rows."""
+    total = sizes.agg(F.sum(size).alias("n")).first().n or 0
+    return F.col(size) * F.lit(HOT) > F.lit(total)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
@@ -55,10 +67,10 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, how: st
 
     ``groups`` has one row per ``key`` with its number of rows in ``size``. Groups over 1/HOT of
     all rows number fewer than HOT, so they are broadcast; the rest meet in a shuffled join.
-    Both arguments should be stored tables: each is read twice. Keys must not be null.
+    Both arguments should be stored tables: each is read twice. Keys must not be null. With ``how``
+    'left' rows without a group stay, with nulls.
     """
-    total = groups.agg(F.sum(size).alias("n")).first().n or 0
-    hot = F.col(size) * F.lit(HOT) > F.lit(total)
+    hot = hot_keys(groups, size)
     values = [c for c in groups.columns if c != key]
     large = groups.where(hot).select(F.col(key).alias("__key"), *values, F.lit(True).alias("__hot"))
     tagged = rows.join(F.broadcast(large), rows[key] == F.col("__key"), "left").drop("__key")
@@ -68,5 +80,36 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, how: st
     return done.unionByName(rest.join(small, rest[key] == F.col("__key"), how).drop("__key"))
 
 
+#: What a broadcast may hold: rows, and bytes as the caller reckons them.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
+
+
+def bounded_join(rows: DataFrame, groups: DataFrame, key: str, size: str, how: str = "left", most: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """``join_groups`` for groups that are few as a rule: with at most ``most`` of them, of at most
+    BROADCAST_BYTES together (``weight``: bytes of one, 256 if not given), all are broadcast. Their
+    number and weight are those of the stored table, so this is no guess."""
+    n, held = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.lit(256) if weight is None else weight), F.lit(0))).first()
+    if n > most or held > BROADCAST_BYTES:
+        return join_groups(rows, groups, key, size, how)
+    few = groups.withColumnRenamed(key, "__key")
+    return rows.join(F.broadcast(few), rows[key] == F.col("__key"), how).drop("__key")
+
+
+def packed(docs: DataFrame, *read: str) -> DataFrame:
+    """``docs`` as one struct __doc with fields c0, c1, ..., beside the columns in ``read`` under their
+    names: no column of ``docs``, whatever its name, can then meet one that an operator adds."""
+    return docs.select(F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("__doc"), *[named(c).alias(c) for c in read])
+
+
+def unpacked(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of ``packed`` again, those in ``changed`` with new values."""
+    return df.select(*[changed.get(c, F.col(f"__doc.c{i}")).alias(c) for i, c in enumerate(columns)])
+
+
+def named(column: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+    return F.coalesce(named(name).cast("string"), F.lit(""))
