@@ -11,8 +11,13 @@ representative of each class goes on:
 2. Each list is led by its most typical class (whose values are the most frequent), and lists with
    one leader become one group. Each member is compared with its leader: the sketch of the union
    estimates the similarity, and what may be similar is verified on the full sets.
-3. Members that did not join their leader are compared with the whole group in blocks, on full
-   sets. Members that joined the leader already hang together and need no comparison.
+3. Where members did not join their leader, the members of these groups are listed once more, by
+   their full sets. A set of n with another at most as large shares the rarest n - ceil(6n/7) + 1
+   of its shingles or one of them, and with a larger one the rarest n - ceil(3n/4) + 1 (for
+   similarity 3/4), so a passage that many otherwise different documents share lists none of them.
+   These lists are led and verified in the same way, at a cost linear in their members.
+4. What even then hangs together with its leader by no chain of links is compared with its list in
+   blocks, on full sets: members whose similarity to each other lies just below the threshold.
 
 So no list or group is ever expanded into all its pairs, and no pair of different texts with the
 required similarity that meets in a list is left out.
@@ -20,8 +25,9 @@ required similarity that meets in a list is left out.
 Defined results: words are lower-cased in A-Z; a text with fewer than five words has its whole
 word sequence as its one shingle; a null, empty or blank text has no set and is linked with
 nothing; component_id is the smallest doc_id of the component (null ids come last); repeated rows
-fall into one class; an empty table gives no rows. Only ``doc_id`` and ``text`` are read by
-``near_duplicates``; ``keep_one`` passes all other columns through under any name.
+fall into one class; an empty table gives no rows. Rows are told apart by a stored row number, so
+ids may repeat. Only ``doc_id`` and ``text`` are read by ``near_duplicates``; ``keep_one`` passes all
+other columns through under any name.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulens.llm import words
-from tabulens.llm.common import bounded_broadcast, join_groups, store
+from tabulens.llm.common import BROADCAST_ROWS, join_groups, packed, store, unpacked
 from tabulens.llm.components import components
 
 #: Values in a sketch, and those that the sketches of two sets with similarity 0.75 share at the
@@ -45,33 +51,32 @@ FULL = SKETCH * 75 // 100
 PERCENT = 75
 #: Rows of a group that one task compares with each other: unlinked members, and all members.
 BLOCK_LEFT, BLOCK_ALL = 256, 1024
-#: Classes whose texts are fetched by a broadcast of their ids; more are fetched by a shuffle.
-FETCH_ROWS = 100_000
 
 
 def _sketches(batches):
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
+        rows, ids, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
         for a, b in words.chunks(texts):
             sets = list(words.shingle_sets(texts[a:b]))
             yield pa.record_batch(
                 [
+                    rows[a:b],
                     ids[a:b],
-                    pa.array([len(t or "") for t in texts[a:b]], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                     pa.array([s[:SKETCH] for s in sets], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "chars", "n", "set_hash", "sketch"],
+                names=["row", "doc_id", "n", "set_hash", "sketch"],
             )
 
 
-def _same_set(batches):
-    """The texts whose set is the one asked for; another row may have the same id and length."""
+def _full_sets(batches):
     for batch in batches:
-        cls, wanted, texts = (batch.column(i).to_pylist() for i in range(3))
-        keep = [i for a, b in words.chunks(texts) for i, s in enumerate(words.shingle_sets(texts[a:b]), a) if xxhash.xxh3_128_digest(s.tobytes()) == wanted[i]]
-        yield pa.record_batch([pa.array([cls[i] for i in keep], pa.int64()), pa.array([texts[i] for i in keep], pa.string())], names=["cls", "text"])
+        cls, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        for a, b in words.chunks(texts):
+            for c, s in zip(cls[a:b], words.shingle_sets(texts[a:b]), strict=True):
+                n = len(s)
+                yield pa.record_batch([pa.array(np.full(n, c)), pa.array(np.full(n, n)), pa.array(s)], names=["cls", "n", "v"])
 
 
 def _linked(batches):
@@ -112,57 +117,83 @@ def _block_links(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def _classes(sketches: DataFrame) -> DataFrame:
-    """One row per distinct set: cls, set_hash, doc_id and chars of its first document, n, sketch, copies."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "chars", "n", "sketch"))
+    """One row per distinct set: cls, set_hash, doc_id and row of its first document, n, sketch, copies."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "n", "sketch"))
     groups = sketches.where("n > 0").groupBy("set_hash").agg(first.alias("f"), F.count(F.lit(1)).alias("copies"))
-    return store(groups.select(F.monotonically_increasing_id().alias("cls"), "set_hash", "f.doc_id", "f.chars", "f.n", "f.sketch", "copies"), "classes")
+    return store(groups.select(F.monotonically_increasing_id().alias("cls"), "set_hash", "f.doc_id", "f.row", "f.n", "f.sketch", "copies"), "classes")
 
 
-def _groups(classes: DataFrame) -> DataFrame:
-    """leader, cls: the members of each group, its leader left out."""
-    values = classes.select("cls", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
-    lists = store(values.groupBy("v").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "lists")
+def _met(values: DataFrame, held_in: Column, name: str) -> DataFrame:
+    """v, cls, n, k, place, typical for ``values`` (cls, n, k, v; k values a class) that several classes
+    hold: the place of the value among its class's, rarest first, and how often the class's are held."""
+    lists = store(values.groupBy("v").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), f"{name}-lists")
     own = Window.partitionBy("cls")
-    shared = F.when(F.col("n") <= FULL, F.ceil(F.col("n") * PERCENT / 100)).otherwise(F.lit(SHARED))
     alone = F.col("k") - F.count(F.lit(1)).over(own)
     place = F.row_number().over(own.orderBy("held", "v")) + alone
     typical = (F.sum("held").over(own) + alone) / F.col("k")
-    met = join_groups(values, lists, "v", "held").select("*", place.alias("place"), typical.alias("typical"))
-    met = store(met.where(F.col("place") <= F.col("k") - shared + 1).select("v", "cls", "typical"), "met")
-    led = met.groupBy("v").agg(F.max(F.struct("typical", "cls")).alias("lead"), F.count(F.lit(1)).alias("size"))
-    led = store(led.where("size > 1").select("v", F.col("lead.cls").alias("leader"), "size"), "led")
-    return store(join_groups(met, led, "v", "size").where("cls <> leader").select("leader", "cls").distinct(), "groups")
+    met = join_groups(values, lists, "v", "held").select("v", "cls", "n", "k", place.alias("place"), typical.alias("typical"))
+    return store(met.where(F.col("place") <= held_in), f"{name}-met")
+
 
+def _led(met: DataFrame, may_lead: Column, name: str) -> DataFrame:
+    """leader, cls: the members of each group of lists with one leader, the leader left out."""
+    lead = F.max(F.when(may_lead, F.struct("typical", "cls")))
+    led = met.groupBy("v").agg(lead.alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1 and lead is not null")
+    led = store(led.select("v", F.col("lead.cls").alias("leader"), "size"), f"{name}-led")
+    return store(join_groups(met.select("v", "cls"), led, "v", "size").where("cls <> leader").select("leader", "cls").distinct(), f"{name}-groups")
 
-def _texts(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
+
+def _groups(classes: DataFrame) -> DataFrame:
+    """Groups by the values of sketches."""
+    values = classes.select("cls", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
+    shared = F.when(F.col("n") <= FULL, F.ceil(F.col("n") * PERCENT / 100)).otherwise(F.lit(SHARED))
+    return _led(_met(values, F.col("k") - shared + 1, "sketch"), F.lit(True), "sketch")
+
+
+def _full_groups(texts: DataFrame) -> DataFrame:
+    """Groups by the rarest shingles of full sets, each led by a class that may be the smaller of a pair."""
+    values = store(texts.select("cls", "text").mapInArrow(_full_sets, "cls long, n long, v long"), "values").withColumn("k", F.col("n"))
+    as_larger = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    as_smaller = F.col("n") - F.ceil(F.col("n") * (2 * PERCENT) / (100 + PERCENT)) + 1
+    return _led(_met(values, as_larger, "full"), F.col("place") <= as_smaller, "full")
+
+
+def _texts(rows: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
     """cls, text of every class in a group."""
     needed = groups.select("cls").union(groups.select("leader")).distinct()
-    needed = store(classes.join(needed, "cls", "left_semi").select("cls", "set_hash", F.col("doc_id").alias("__id"), F.col("chars").alias("__chars")), "needed")
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.char_length(F.col("text").cast("string")).cast("long").alias("chars"))
-    found = texts.join(bounded_broadcast(needed, FETCH_ROWS), texts.doc_id.eqNullSafe(F.col("__id")) & (texts.chars == F.col("__chars")))
-    found = found.select("cls", "set_hash", "text").mapInArrow(_same_set, "cls long, text string")
-    return store(found.dropDuplicates(["cls"]), "texts")
+    needed = store(classes.join(needed, "cls", "left_semi").select("cls", F.col("row").alias("__row")), "needed")
+    few = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
+    return store(rows.join(few, F.col("row") == F.col("__row")).select("cls", "text"), "texts")
 
 
 def _leader_links(classes: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFrame:
     side = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    sizes = store(groups.groupBy("leader").agg(F.count(F.lit(1)).alias("size")), "led-sizes")
     fits = 100 * F.least("n_cls", "n_leader") >= PERCENT * F.greatest("n_cls", "n_leader")
     union = F.slice(F.sort_array(F.array_union("s_cls", "s_leader")), 1, SKETCH)
     estimate = F.size(F.array_intersect(F.array_intersect("union", "s_cls"), F.col("s_leader")))
-    pairs = groups.join(side("cls"), "cls").join(side("leader"), "leader").where(fits).withColumn("union", union)
+    leaders = store(sizes.join(side("leader"), "leader"), "leaders")
+    pairs = join_groups(groups, leaders, "leader", "size").join(side("cls"), "cls").where(fits).withColumn("union", union)
     pairs = store(pairs.where(estimate * SKETCH >= F.size("union") * SHARED).select("leader", "cls"), "pairs")
-    text = lambda c: texts.select(F.col("cls").alias(c), F.col("text").alias(f"text_{c}"))
-    return store(pairs.join(text("cls"), "cls").join(text("leader"), "leader").select("leader", "cls", "text_leader", "text_cls").mapInArrow(_linked, "a long, b long"), "leader_links")
+    of_leaders = store(sizes.join(texts.select(F.col("cls").alias("leader"), F.col("text").alias("text_leader")), "leader"), "leader-texts")
+    of_members = pairs.join(texts.select("cls", F.col("text").alias("text_cls")), "cls")
+    both = join_groups(of_members, of_leaders, "leader", "size").select("leader", "cls", "text_leader", "text_cls")
+    return store(both.mapInArrow(_linked, "a long, b long"), "leader_links")
+
+
+def _rest(groups: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """leader, cls, joined (whether links hang it together with its leader) for groups where not all are
+    joined, and the groups' leader, size, left (members that are not)."""
+    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    found = groups.join(root("cls"), "cls", "left").join(root("leader"), "leader", "left")
+    members = store(found.select("leader", "cls", F.coalesce(F.col("cls_root") == F.col("leader_root"), F.lit(False)).alias("joined")), "members")
+    sizes = members.groupBy("leader").agg(F.count(F.lit(1)).alias("size"), F.count_if(~F.col("joined")).alias("left"))
+    return members, store(sizes.where("left > 0"), "sizes")
 
 
-def _rest_links(groups: DataFrame, texts: DataFrame, linked: DataFrame) -> DataFrame:
-    """Links of members that did not join their leader with others of the group."""
-    joined = linked.select(F.col("a").alias("leader"), F.col("b").alias("cls"), F.lit(True).alias("joined"))
-    members = groups.join(joined, ["leader", "cls"], "left").withColumn("joined", F.coalesce("joined", F.lit(False)))
-    members = store(members, "members")
-    sizes = members.groupBy("leader").agg(F.count(F.lit(1)).alias("size"), F.count_if(~F.col("joined")).alias("left"))
-    sizes = store(sizes.where("left > 0 and size > 1"), "sizes")
-    sized = join_groups(members, sizes, "leader", "size").join(texts, "cls")
+def _rest_links(members: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links of members that are not joined with others of the group."""
+    sized = join_groups(members, sizes.where("size > 1"), "leader", "size").join(texts, "cls")
     parts = lambda n, rows: F.ceil(F.col(n) / F.lit(rows)).cast("int")
     n_left, n_all = parts("left", BLOCK_LEFT), parts("size", BLOCK_ALL)
     own = lambda n: F.pmod(F.xxhash64("cls"), n).cast("int")
@@ -173,43 +204,61 @@ def _rest_links(groups: DataFrame, texts: DataFrame, linked: DataFrame) -> DataF
     return store(blocks.applyInArrow(_block_links, "a long, b long"), "rest_links")
 
 
-def _assigned(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, chars, n_shingles, component_id, kept."""
-    schema = "doc_id long, chars long, n long, set_hash binary, sketch array<long>"
-    sketches = store(docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_sketches, schema), "sketches")
-    classes = _classes(sketches)
+def _links(rows: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """node, root of all classes that have links; the links; how many comparisons each step made."""
     groups = _groups(classes)
-    texts = _texts(docs, classes, groups)
-    by_leader = _leader_links(classes, groups, texts)
-    roots = components(by_leader.union(_rest_links(groups, texts, by_leader)))
-    joined = classes.select("cls", "set_hash", "doc_id", "copies").join(roots, F.col("cls") == F.col("node"), "left").drop("node")
+    texts = _texts(rows, classes, groups)
+    links = _leader_links(classes, groups, texts)
+    made = {"led": groups.count(), "led again": 0, "blocks": 0}
+    joined = links.select(F.col("a").alias("leader"), F.col("b").alias("cls"))
+    apart = store(groups.join(joined, ["leader", "cls"], "left_anti"), "apart")
+    if not apart.limit(1).count():
+        return components(links), links, made
+    # Where all members joined, they hang together; the others are looked at again, whole groups of them.
+    open_groups = groups.join(apart.select("leader").distinct(), "leader", "left_semi")
+    again = store(texts.join(open_groups.select("cls").union(open_groups.select("leader")).distinct(), "cls", "left_semi"), "again")
+    groups = _full_groups(again)
+    links = store(links.union(_leader_links(classes, groups, again)), "links")
+    roots = components(links)
+    members, sizes = _rest(groups, roots)
+    n = sizes.agg(F.coalesce(F.sum(F.col("left") * F.col("size")), F.lit(0)).alias("n")).first().n
+    made |= {"led again": groups.count(), "blocks": n}
+    if n:
+        links = store(links.union(_rest_links(members, sizes, again)), "links")
+        roots = components(links)
+    return roots, links, made
+
+
+def _assigned(rows: DataFrame) -> DataFrame:
+    """row, doc_id, n_shingles, component_id, first (the row that stays of its component) for ``rows``: a stored row, doc_id, text."""
+    schema = "row long, doc_id long, n long, set_hash binary, sketch array<long>"
+    sketches = store(rows.select("row", "doc_id", "text").mapInArrow(_sketches, schema), "sketches")
+    classes = _classes(sketches)
+    roots, _, _ = _links(rows, classes)
+    joined = classes.select("cls", "set_hash", "doc_id", "row", "copies").join(roots, F.col("cls") == F.col("node"), "left").drop("node")
     joined = store(joined, "joined")
-    least = joined.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("parts"))
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    least = joined.where("root is not null").groupBy("root").agg(F.min(own).alias("least"), F.count(F.lit(1)).alias("parts"))
     linked = join_groups(joined.where("root is not null"), store(least, "least"), "root", "parts")
-    found = linked.select("set_hash", F.col("least").alias("component_id"), "copies")
-    found = store(found.union(joined.where("root is null").select("set_hash", "doc_id", "copies")), "components")
-    rows = sketches.select("doc_id", "chars", "n", "set_hash")
-    out = join_groups(rows.where("n > 0"), found, "set_hash", "copies").select("doc_id", "chars", "n", "component_id")
-    out = out.union(rows.where("n = 0").select("doc_id", "chars", "n", F.col("doc_id").alias("component_id")))
-    return out.select("doc_id", "chars", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    found = linked.select("set_hash", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("first"), "copies")
+    found = store(found.union(joined.where("root is null").select("set_hash", "doc_id", "row", "copies")), "components")
+    narrow = sketches.select("row", "doc_id", "n", "set_hash")
+    out = join_groups(narrow.where("n > 0"), found, "set_hash", "copies").select("row", "doc_id", "n", "component_id", "first")
+    out = out.union(narrow.where("n = 0").select("row", "doc_id", "n", F.col("doc_id").alias("component_id"), F.col("row").alias("first")))
+    return out.withColumnRenamed("n", "n_shingles")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    return _assigned(docs).drop("chars")
+    rows = store(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")), "rows")
+    return _assigned(rows).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that are the first of their group, with all columns of ``docs``. Rows are known
-    by id and length. Of rows that repeat id and text one stays, unless the text has no words."""
-    kept = _assigned(docs).where("kept").select(*_row_key(F.col("doc_id"), F.col("chars"))).distinct()
-    keyed = docs.select("*", *_row_key(docs["doc_id"], F.coalesce(F.char_length(docs["text"].cast("string")), F.lit(0)).cast("long")))
-    stays = keyed.join(store(kept, "kept"), ["__id", "__no_id", "__chars"], "left_semi")
-    # Dealt by the join's keys already: the texts are shuffled once.
-    blank = F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    again = Window.partitionBy("__id", "__no_id", "__chars", F.xxhash64("text"), F.when(blank, F.monotonically_increasing_id()))
-    return stays.withColumn("__again", F.row_number().over(again.orderBy("__id"))).where("__again = 1").drop("__again", "__id", "__no_id", "__chars")
-
-
-def _row_key(doc_id: Column, chars: Column) -> list[Column]:
-    return [F.coalesce(doc_id, F.lit(0)).alias("__id"), doc_id.isNull().alias("__no_id"), chars.alias("__chars")]
+    """The documents that are the first of their group (by doc_id, then by stored row), with all columns of
+    ``docs``: exactly one row of each component, and every row without words."""
+    rows = store(packed(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = _assigned(rows.select("row", F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")))
+    gone = store(found.where("row <> first").select(F.col("row").alias("__row")), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return unpacked(rows.join(gone, F.col("row") == F.col("__row"), "left_anti"), docs.columns)
