@@ -15,14 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulens.llm.common import WORD, bounded_broadcast, store, text_or_empty
+from tabulens.llm.common import WORD, bounded_join, keyed, packed, store, text_or_empty, unpacked
 
 #: Shares of sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
 #: The mix holds this part of all words, and a source at most CAP times its own.
 SHARE, CAP = 1.5, 2.0
-#: Source tables up to so many rows are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 100_000
 
 
 def words_in(text: Column) -> Column:
@@ -35,63 +33,64 @@ def draw(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, str], name: str) -> DataFrame:
+    """Stored ``df`` with, for each new column of ``sums``, the sum of a column over the rows before it in ``order``.
+    Rows are sorted in ranges; only the ranges' own sums are added up one after the other."""
+    place = F.monotonically_increasing_id()
+    ranged = store(df.orderBy(*order).withColumn("__at", place), name).withColumn("__part", F.shiftright("__at", 33))
+    own = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("__part").agg(*[F.sum(c).alias(f"__{k}") for k, c in sums.items()])
+    # As many rows as there are partitions.
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("__part").alias("__p"), *[F.coalesce(F.sum(f"__{k}").over(before), F.lit(0)).alias(f"__{k}") for k in sums])
+    out = ranged.join(F.broadcast(parts), F.col("__part") == F.col("__p"))
+    out = out.withColumns({k: F.coalesce(F.sum(c).over(own), F.lit(0)) + F.col(f"__{k}") for k, c in sums.items()})
+    return out.drop("__at", "__part", "__p", *[f"__{k}" for k in sums])
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """source, source_size, target from (source, size) rows.
+    """A stored table: source, documents, source_size, target from (source, size) rows.
 
     Resharing the excess by weight until no source is above its cap ends at min(cap * size,
     level * weight) for one level. With sources in order of cap * size / weight, those before
-    some place are capped and the level follows from the rest, so running sums find it. The
-    windows see one row per source.
+    some place are capped and the level follows from the rest, so running sums find it.
     """
-    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
-    full = F.col("source_size") * F.lit(cap)
-    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rising = Window.orderBy("full_at", "place")
-    before = rising.rowsBetween(Window.unboundedPreceding, -1)
-    after = rising.rowsBetween(0, Window.unboundedFollowing)
-    budget = F.sum("source_size").over(every) * F.lit(share)
-    level = F.try_divide(budget - F.coalesce(F.sum("full").over(before), F.lit(0.0)), F.sum("weight").over(after))
-    found = (
-        sources.withColumns({"place": place, "full": full})
-        .withColumn("weight", weight)
-        .withColumn("full_at", F.col("full") / F.col("weight"))
-        .withColumn("own_level", level)
-    )
+    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("documents"), F.lit(1).alias("one"))
+    placed = running(sources, [F.col("source").asc_nulls_last()], {"place": "one"}, "sources")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    placed = placed.withColumns({"full": F.col("source_size") * F.lit(cap), "weight": weight}).withColumn("full_at", F.col("full") / F.col("weight"))
+    capped = running(placed, [F.col("full_at"), F.col("place")], {"full_before": "full", "weight_before": "weight"}, "capped")
+    budget, weight_in_all = capped.agg(F.coalesce(F.sum("source_size"), F.lit(0)) * F.lit(share), F.sum("weight")).first()
+    own_level = F.try_divide(F.lit(float(budget)) - F.col("full_before"), F.lit(weight_in_all) - F.col("weight_before"))
     # The level is that of the first source which stays under its cap.
-    open_level = F.min_by(F.when(F.col("own_level") < F.col("full_at"), F.col("own_level")), F.when(F.col("own_level") < F.col("full_at"), F.col("full_at"))).over(every)
-    target = F.when(open_level.isNull(), F.col("full")).otherwise(F.least("full", open_level * F.col("weight")))
-    return found.select("source", "source_size", target.alias("target"))
+    level = capped.where(own_level < F.col("full_at")).agg(F.min_by(own_level, F.struct("full_at", "place"))).first()[0]
+    target = F.col("full") if level is None else F.least("full", F.lit(level) * F.col("weight"))
+    return store(capped.select("source", "documents", "source_size", target.alias("target")), "targets")
 
 
-def _with_copies(docs: DataFrame, targets: DataFrame, seed: int, source: str, doc_id: str) -> DataFrame:
-    """``docs`` with __source_size, __target and __copies."""
-    known = targets.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
-    joined = docs.join(bounded_broadcast(known, BROADCAST_ROWS), docs[source].eqNullSafe(F.col("__source")), "left").drop("__source")
-    rate = F.coalesce(F.try_divide(F.col("__target"), F.col("__source_size")), F.lit(0.0))
-    copies = F.floor(rate) + (draw(F.col(doc_id), seed) < rate - F.floor(rate)).cast("long")
-    return joined.withColumn("__copies", copies)
+def _with_copies(docs: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
+    """``docs`` (source, doc_id and others) with source_size, target and copies."""
+    known = targets.select(keyed(F.col("source")).alias("key"), "documents", "source_size", "target")
+    joined = bounded_join(docs.withColumn("key", keyed(F.col("source"))), known, "key", "documents")
+    rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
+    copies = F.floor(rate) + (draw(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
+    return joined.withColumn("copies", copies)
 
 
 def mixture(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 0) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies."""
     sizes = store(docs.select("doc_id", F.col("source").cast("string").alias("source"), words_in(text_or_empty()).alias("size")), "sizes")
-    targets = store(source_targets(sizes, weights, share, cap), "targets")
-    out = _with_copies(sizes, targets, seed, "source", "doc_id")
-    return out.select(
-        "doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
-        (F.col("size") * F.col("__copies")).alias("taken"), F.col("__copies").alias("copies"),
-    )
+    out = _with_copies(sizes, source_targets(sizes, weights, share, cap), seed)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 0) -> DataFrame:
     """The mixed corpus: each document as often as it is taken, with the columns of ``docs``."""
     sizes = docs.select(F.col("source").cast("string").alias("source"), words_in(text_or_empty()).alias("size"))
-    targets = store(source_targets(sizes, weights, share, cap), "targets")
-    out = _with_copies(docs, targets, seed, "source", "doc_id").where("__copies > 0")
-    copy = F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))
-    return out.withColumn("__copy", copy).select(*[docs[c] for c in docs.columns])
+    targets = source_targets(sizes, weights, share, cap)
+    carried = packed(docs, "doc_id", "source").withColumn("source", F.col("source").cast("string"))
+    out = _with_copies(carried, targets, seed).where("copies > 0")
+    return unpacked(out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), docs.columns)
 
 
 OP1_SQL = r"""
