@@ -1,39 +1,45 @@
 """Quality rules with thresholds that adapt to language and source.
 
-Counts per document are expressions on its own row. Rates derived from them go into one KLL
-quantile sketch per (lang, source) and rate; sketches merge, so a source with a third of all
-rows is summed up where its rows lie and shuffles one sketch per task. Upper and lower fences
-come from the sketches' quartiles, and documents are filtered by a join with the fences. The fence
-on repeated words is at least 3 * 0.07 = 0.21, so the base rule, which stops at MAX_REPEATED
-percent, decides on them alone.
+Counts per document are expressions on its own row. Rates derived from them go into one quantile
+sketch per (lang, source) and rate: counts in bins whose width is a fixed part of the value. Such
+sketches merge by adding counts, without chance, so reruns agree, and a source with a third of all rows
+is summed up where its rows lie: each task shuffles the bins it has met. Adding up a language's sources gives the
+sketches of languages. Fences come from the quartiles, and documents are filtered by a join with the fences.
+
+A group's quartiles lean towards those of its language by the weight of PRIOR documents, so that a
+group of a few documents, whose quartiles are its own extremes, is judged by its language. And no fence
+lies over FAR spreads beyond the language's quartiles, so that a group that is junk for the most part
+does not make its own junk usual. The same rule holds at every size. The fence on repeated words is at
+least 3 * 0.07 = 0.21, so the base rule, which stops at MAX_REPEATED percent, decides on them alone.
 
 Defined results: a null or blank text has no words, fails the base rule and is not kept; null
 lang or source form groups of their own; repeated rows count each; an empty table gives no
-rows. A sketch holds all values of a group up to SKETCH_K rows, so fences are exact there;
-beyond that their rank is off by a part of a percent. Columns beside text, lang and source are
-passed through by ``keep_good`` under any name.
+rows. A quartile is the middle of its bin, so within 1/2 BINS of the exact one. Columns beside text, lang and
+source are passed through by ``keep_good`` under any name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulens.llm.common import SPACE, bounded_broadcast, store, text_or_empty
+from tabulens.llm.common import SPACE, bounded_join, keyed, packed, store, text_or_empty, unpacked
 
 SYMBOLS = r"[#*$%&|<>]"
 #: Words in a window that counts as repeated.
 WINDOW = 5
 #: Base rule: at least so many words, and at most this percentage of them in repeated windows.
 MIN_WORDS, MAX_REPEATED = 10, 20
-#: Items per sketch level.
-SKETCH_K = 1024
+#: Bins of a sketch for a factor of e.
+BINS = 128
 #: A rate is out when it lies over SPREADS spreads beyond a quartile. The spread is the distance
 #: of the quartiles, at least the rate's own least spread: groups of very even documents have
 #: quartiles close together, and there small differences mean nothing.
-SPREADS = 3.0
+SPREADS, FAR = 3.0, 6.0
+#: Documents that the language's quartiles count for beside a group's own.
+PRIOR = 20
 #: rate: (its SQL over the counts, least spread, whether low values are out as well)
 RATES = {
     "symbol_rate": ("n_symbols / word_chars", 0.02, False),
@@ -41,7 +47,6 @@ RATES = {
     "repeat_rate": ("n_repeat_words / n_words", 0.07, False),
     "word_length": ("word_chars / n_words", 0.75, True),
 }
-FENCE_ROWS = 100_000
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -94,36 +99,51 @@ def counts(docs: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
+def rates() -> dict[str, Column]:
+    """Null for documents without words."""
+    return {r: F.expr(f"try_divide(cast({how.split(' / ')[0]} as double), {how.split(' / ')[1]})") for r, (how, _, _) in RATES.items()}
+
+
+def quartiles(sketches: DataFrame, own: list[str]) -> DataFrame:
+    """own, rate, n, q1, q3 from a sketch's rows: own, rate, bin (null for the value 0), n."""
+    upto = Window.partitionBy(*own, "rate").orderBy(F.col("bin").asc_nulls_first())
+    ranked = sketches.withColumns({"upto": F.sum("n").over(upto), "all": F.sum("n").over(Window.partitionBy(*own, "rate"))})
+    middle = F.coalesce(F.exp((F.col("bin") + 0.5) / BINS), F.lit(0.0))
+    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), middle))
+    return ranked.groupBy(*own, "rate").agg(F.max("all").alias("n"), at(0.25).alias("q1"), at(0.75).alias("q3"))
+
+
 def fences(counted: DataFrame) -> DataFrame:
-    """lang, source and for each rate its fence(s), from documents with a word."""
-    # Documents without words have null rates. A filter on them would be moved below the counts, and these made twice.
-    rates = {r: F.expr(f"try_divide(cast({how.split(' / ')[0]} as double), {how.split(' / ')[1]})") for r, (how, _, _) in RATES.items()}
-    sketched = (
-        counted.select("lang", "source", *[v.alias(r) for r, v in rates.items()])
-        .groupBy("lang", "source")
-        .agg(F.count("word_length").alias("n"), *[F.kll_sketch_agg_double(r, F.lit(SKETCH_K)).alias(r) for r in RATES])
-        .where("n > 0")
-    )
+    """A stored table: key (of lang and source), rows and for each rate its fence(s), from documents with a
+    word in ``counted``, a stored table with lang, source and the counts."""
+    values = F.array(*[F.struct(F.lit(r).alias("rate"), v.alias("v")) for r, v in rates().items()])
+    each = counted.where("n_words > 0").select(keyed(F.col("lang")).alias("lang"), keyed(F.col("lang"), F.col("source")).alias("key"), F.explode(values).alias("x"))
+    place = F.when(F.col("x.v") > 0, F.floor(F.log("x.v") * BINS))
+    sketches = each.groupBy("lang", "key", F.col("x.rate").alias("rate"), place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    sketches = store(sketches, "sketches")
+    own = quartiles(sketches, ["lang", "key"])
+    # A row per language and rate.
+    above = quartiles(sketches.groupBy("lang", "rate", "bin").agg(F.sum("n").alias("n")), ["lang"]).select("lang", "rate", F.col("q1").alias("p1"), F.col("q3").alias("p3"))
+    part = F.col("n") / (F.col("n") + PRIOR)
+    both = own.join(above, ["lang", "rate"]).withColumns({q: part * F.col(q) + (1 - part) * F.col(p) for q, p in (("q1", "p1"), ("q3", "p3"))})
     out = []
-    for r, (_, least, both) in RATES.items():
-        low, high = (F.kll_sketch_get_quantile_double(r, F.lit(q)) for q in (0.25, 0.75))
-        spread = F.greatest(high - low, F.lit(least)) * SPREADS
-        out.append((high + spread).alias(f"{r}_high"))
-        if both:
-            out.append((low - spread).alias(f"{r}_low"))
-    return sketched.select("lang", "source", *out)
+    for r, (_, least, two_sided) in RATES.items():
+        of = lambda v, r=r: F.max(F.when(F.col("rate") == r, v))
+        spread, far = (F.greatest(F.col(hi) - F.col(lo), F.lit(least)) for hi, lo in (("q3", "q1"), ("p3", "p1")))
+        out.append(of(F.least(F.col("q3") + spread * SPREADS, F.col("p3") + far * FAR)).alias(f"{r}_high"))
+        if two_sided:
+            out.append(of(F.greatest(F.col("q1") - spread * SPREADS, F.col("p1") - far * FAR)).alias(f"{r}_low"))
+    return store(both.groupBy("key").agg(F.max("n").alias("rows"), *out), "fences")
 
 
 def verdicts(counted: DataFrame, limits: DataFrame) -> DataFrame:
-    """``counted`` with base_failed and kept; ``limits``: a stored result of fences()."""
-    few = bounded_broadcast(limits.withColumnsRenamed({"lang": "__lang", "source": "__source"}), FENCE_ROWS)
-    joined = counted.join(few, counted.lang.eqNullSafe(F.col("__lang")) & counted.source.eqNullSafe(F.col("__source")), "left")
+    """``counted`` with base_failed and kept; ``limits``: a result of fences()."""
+    joined = bounded_join(counted.withColumn("key", keyed(F.col("lang"), F.col("source"))), limits, "key", "rows")
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     inside = F.lit(True)
-    for r, (how, _, both) in RATES.items():
-        rate = F.expr(f"try_divide(cast({how.split(' / ')[0]} as double), {how.split(' / ')[1]})")
+    for r, rate in rates().items():
         inside &= rate <= F.col(f"{r}_high")
-        if both:
+        if RATES[r][2]:
             inside &= rate >= F.col(f"{r}_low")
     return joined.withColumn("base_failed", base).withColumn("kept", F.coalesce(~F.col("base_failed") & inside, F.lit(False)))
 
@@ -131,19 +151,15 @@ def verdicts(counted: DataFrame, limits: DataFrame) -> DataFrame:
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed and kept, one row per document."""
     counted = store(counts(docs, ["doc_id", "lang", "source"]), "quality")
-    out = verdicts(counted, store(fences(counted), "fences"))
+    out = verdicts(counted, fences(counted))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with all columns of ``docs``. Their counts are made twice, once
-    for the fences and once for the verdict: this is less than a shuffle of the texts."""
-    own = ["lang", "source"]
-    limits = store(fences(counts(docs, own)), "fences")
-    names = [f"__c{i}" for i in range(len(docs.columns))]
-    carried = docs.select(F.struct(*[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)]).alias("__doc"), "text", *own)
-    judged = verdicts(counts(carried, ["__doc", *own]), limits).where("kept")
-    return judged.select(*[F.col(f"__doc.{n}").alias(c) for c, n in zip(docs.columns, names, strict=True)])
+    """The documents that are kept, with all columns of ``docs``. They are stored once with their counts:
+    making the counts a second time for the verdict would take more."""
+    counted = store(counts(packed(docs, "text", "lang", "source"), ["__doc", "lang", "source"]), "quality")
+    return unpacked(verdicts(counted, fences(counted)).where("kept"), docs.columns)
 
 
 OP4_SQL = r"""
@@ -175,19 +191,28 @@ rates AS (
   FROM counted WHERE n_words > 0
 ),
 long AS (UNPIVOT rates ON symbol_rate, dup_line_rate, repeat_rate, word_length INTO NAME rate VALUE v),
+binned AS (SELECT lang, source, rate, CASE WHEN v > 0 THEN exp((floor(ln(v) * 128) + 0.5) / 128) ELSE 0 END AS m FROM long),
 ranked AS (
-  SELECT lang, source, rate, v, row_number() OVER (PARTITION BY lang, source, rate ORDER BY v) AS k,
-         count(*) OVER (PARTITION BY lang, source, rate) AS n FROM long
+  SELECT lang, source, rate, m, row_number() OVER (PARTITION BY lang, source, rate ORDER BY m) AS k,
+         count(*) OVER (PARTITION BY lang, source, rate) AS n,
+         row_number() OVER (PARTITION BY lang, rate ORDER BY m) AS kp, count(*) OVER (PARTITION BY lang, rate) AS np FROM binned
+),
+languages AS (
+  SELECT lang, rate, min(m) FILTER (WHERE kp >= 0.25 * np) AS p1, min(m) FILTER (WHERE kp >= 0.75 * np) AS p3 FROM ranked GROUP BY ALL
 ),
 quartiles AS (
-  SELECT lang, source, rate, min(v) FILTER (WHERE k >= 0.25 * n) AS q1, min(v) FILTER (WHERE k >= 0.75 * n) AS q3
+  SELECT lang, source, rate, max(n) AS n, min(m) FILTER (WHERE k >= 0.25 * n) AS q1, min(m) FILTER (WHERE k >= 0.75 * n) AS q3
   FROM ranked GROUP BY ALL
 ),
+leaning AS (
+  SELECT q.lang, source, q.rate, p1, p3, n / (n + 20.0) * q1 + (1 - n / (n + 20.0)) * p1 AS q1, n / (n + 20.0) * q3 + (1 - n / (n + 20.0)) * p3 AS q3,
+         CASE q.rate WHEN 'symbol_rate' THEN 0.02 WHEN 'dup_line_rate' THEN 0.1 WHEN 'repeat_rate' THEN 0.07 ELSE 0.75 END AS least
+  FROM quartiles q JOIN languages l ON q.rate = l.rate AND q.lang IS NOT DISTINCT FROM l.lang
+),
 fences AS (
-  SELECT lang, source, rate,
-         q3 + 3.0 * greatest(q3 - q1, CASE rate WHEN 'symbol_rate' THEN 0.02 WHEN 'dup_line_rate' THEN 0.1 WHEN 'repeat_rate' THEN 0.07 ELSE 0.75 END) AS high,
-         CASE WHEN rate = 'word_length' THEN q1 - 3.0 * greatest(q3 - q1, 0.75) END AS low
-  FROM quartiles
+  SELECT lang, source, rate, least(q3 + 3.0 * greatest(q3 - q1, least), p3 + 6.0 * greatest(p3 - p1, least)) AS high,
+         CASE WHEN rate = 'word_length' THEN greatest(q1 - 3.0 * greatest(q3 - q1, least), p1 - 6.0 * greatest(p3 - p1, least)) END AS low
+  FROM leaning
 ),
 inside AS (
   SELECT l.doc_id, bool_and(l.v <= f.high AND (f.low IS NULL OR l.v >= f.low)) AS ok
