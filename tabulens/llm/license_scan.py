@@ -3,11 +3,15 @@
 Segments of a text (its lines, its paragraphs and the whole text) that hold a gate term are turned into
 TF-IDF vectors and compared with the templates' vectors by joins on terms; only non-zero products
 are formed. Gate terms are the rarest terms of each template, so many that the terms left out cannot
-make a cosine of LINE_COSINE by themselves; so no segment that reaches it is passed over. Document frequencies of the templates' terms are counted over all texts; a term in no
-template counts as unseen, so foreign words lower a cosine. A text's own licence is that of its
-best segment from LINE_COSINE up. A text that as a whole is a licence (from FILE_COSINE up) governs
-its directory: files without a licence of their own take that of the nearest directory upwards,
-found by a join of their directory's ancestors with the governing directories.
+make a cosine of LINE_COSINE by themselves; so no segment that reaches it is passed over. Document
+frequencies of the templates' terms are counted over all texts; a term in no template counts as unseen, so
+foreign words lower a cosine. A text's own licence is that of its best segment from LINE_COSINE up.
+
+A text governs its directory if as a whole it is a licence (from FILE_COSINE up), or if its name is that of a
+licence file and it has a licence of its own: full licences are much longer than any template, but
+each has its title, its notice or its clauses among its paragraphs. Files without a licence of their own take
+that of the nearest directory upwards, found by a join of their directory's ancestors with the governing
+directories.
 
 Defined results: a null or blank text has no licence; a null path part is left out; equal cosines
 go to the first licence id in code point order; of several licence files in a directory the
@@ -22,59 +26,59 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulens.llm.common import bounded_broadcast, store, text_or_empty
+from tabulens.llm.common import bounded_join, named, store, text_or_empty
 
 LINE_COSINE, FILE_COSINE = 0.7, 0.85
-#: Governing or inheriting directories up to so many are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 100_000
-#: The gate of the SQL: a segment is compared if it has one of these words (or one that begins with it, if it ends in *).
-KEY_TERMS = ("licen*", "copyright*", "reserved", "warrant*", "copyleft", "gpl*", "agpl*", "lgpl*", "bsd", "unlicense", "relicens*", "sublicen*", "permission*", "cc", "creativecommons")
+#: Names of files that state their directory's licence, in any case, with any extension.
+LICENCE_FILE = r"(?i)(^|/)(un)?(licen[cs]e|copying|copyright)([._-][^/]*)?$"
 
 #: Usual notices and the openings of licence files, by SPDX id.
 TEMPLATES = {
     "AGPL-3.0": (
         "Licensed under the GNU Affero General Public License, version 3.",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     ),
     "BSD-3-Clause": (
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    "CC0-1.0": ("Dedicated to the public domain under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under the CC0 1.0 Universal license."),
+    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "Creative Commons Attribution 4.0 International Public License", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "Creative Commons Attribution-NonCommercial 4.0 International Public License", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "Creative Commons Attribution-ShareAlike 4.0 International Public License", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    "CC0-1.0": ("Dedicated to the public domain under CC0 1.0.", "Creative Commons Legal Code CC0 1.0 Universal", "CC0 1.0 Universal", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under the CC0 1.0 Universal license."),
     "GPL-2.0": (
         "Licensed under the GNU General Public License, version 2.",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
     "ISC": (
         "Licensed under the ISC License.",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ),
-    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.",),
+    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     "MIT": (
         "Released under the MIT License.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     ),
-    "MPL-2.0": ("Licensed under the Mozilla Public License, version 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    "MPL-2.0": ("Licensed under the Mozilla Public License, version 2.0.", "Mozilla Public License Version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     "Proprietary": ("All rights reserved.", "Copyright. All rights reserved."),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
 
 
-def _key_pattern() -> str:
-    return r"\b(" + "|".join(re.escape(k[:-1]) if k.endswith("*") else rf"{k}\b" for k in KEY_TERMS) + ")"
-
-
 def gate_terms(weights: list[tuple[int, str, float, float]], cosine: float) -> list[str]:
     """Terms of which every segment with ``cosine`` to a template has one; ``weights``: template, term, idf, weight in the unit vector.
 
@@ -98,10 +102,10 @@ def gate_pattern(terms: list[str]) -> str:
     return "(?<![a-z0-9])(?=[" + "".join(firsts) + "])(?:" + "|".join(groups) + ")"
 
 
-def template_terms() -> list[tuple[int, str, str, int]]:
+def template_terms(templates: dict[str, tuple[str, ...]] = TEMPLATES) -> list[tuple[int, str, str, int]]:
     """(template number, licence, term, count)."""
     rows = []
-    for number, (licence, text) in enumerate((k, t) for k, ts in TEMPLATES.items() for t in ts):
+    for number, (licence, text) in enumerate((k, t) for k, ts in templates.items() for t in ts):
         terms = re.findall("[a-z0-9]+", text.lower())
         rows += [(number, licence, t, terms.count(t)) for t in sorted(set(terms))]
     return rows
@@ -119,11 +123,11 @@ def segments(text: Column, pattern: str) -> Column:
     return F.when(F.lower(text).rlike(pattern), F.concat(each, F.array(F.struct(text.alias("part"), F.lit(True).alias("whole")))))
 
 
-def _weights(base: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+def _weights(base: DataFrame, of: dict[str, tuple[str, ...]]) -> tuple[DataFrame, DataFrame, int]:
     """Stored tables of the templates' terms with their idf and of the templates' unit vectors, and the number of texts."""
-    values = ", ".join(f"({n}, '{k}', '{t}', {c})" for n, k, t, c in template_terms())
-    templates = base.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(template, licence, term, tf)")
-    vocabulary = F.array(*[F.lit(t) for t in sorted({t for _, _, t, _ in template_terms()})])
+    given = template_terms(of)
+    templates = base.sparkSession.createDataFrame(given, "template int, licence string, term string, tf int")
+    vocabulary = F.array(*[F.lit(t) for t in sorted({t for _, _, t, _ in given})])
     # Each text counts once for the empty term.
     own = F.concat(F.array_intersect(terms_of(F.col("text")), vocabulary), F.array(F.lit("")))
     found = store(base.select(F.explode(own).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
@@ -153,31 +157,36 @@ def _best(cosine: str = "cosine", licence: str = "licence") -> Column:
     return F.min(F.struct((-F.round(cosine, 9)).alias("c"), F.col(licence).alias("licence")))
 
 
-def scan(files: DataFrame, doc_id: str, path: Column, text: str = "text") -> DataFrame:
-    """doc_id, path, licence, cosine, inherited_licence, inherited_from, one row per file; ``path`` has / between parts."""
-    base = files.select(F.col(doc_id).alias("doc_id"), path.alias("path"), text_or_empty(text).alias("text"))
-    idf, templates, n_docs = _weights(base)
-    # A row per term of the fixed templates.
-    gate = gate_terms([(r.template, r.term, r.idf, r.tw) for r in templates.collect()], LINE_COSINE)
+def scan(files: DataFrame, doc_id: str, path: Column, text: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
+    """doc_id, path, licence, cosine, inherited_licence, inherited_from, one row per file; ``path`` has /
+    between parts; ``templates``: notices, titles or whole texts by licence id."""
+    base = files.select(named(doc_id).alias("doc_id"), path.alias("path"), text_or_empty(text).alias("text"))
+    idf, weights, n_docs = _weights(base, templates)
+    # A row per term of the templates.
+    gate = gate_terms([(r.template, r.term, r.idf, r.tw) for r in weights.collect()], LINE_COSINE)
     scanned = base.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "path", F.regexp_replace("path", "/?[^/]*$", "").alias("folder"),
-        segments(F.col("text"), gate_pattern(gate)).alias("segments"),
+        F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False)).alias("named"), segments(F.col("text"), gate_pattern(gate)).alias("segments"),
     )
     scanned = store(scanned, "scanned")
-    cosines = store(_cosines(scanned, idf, templates, n_docs), "cosines")
+    cosines = store(_cosines(scanned, idf, weights, n_docs), "cosines")
     own = cosines.where(F.round("cosine", 9) >= LINE_COSINE).groupBy("row").agg(_best().alias("b"))
     own = store(own.select(F.col("row").alias("__row"), F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine")), "own")
-    whole = cosines.where("whole").where(F.round("cosine", 9) >= FILE_COSINE)
-    governing = whole.join(scanned.select("row", "folder"), "row").groupBy("folder").agg(_best().alias("b"))
-    governing = store(governing.select(F.col("folder").alias("up"), F.col("b.licence").alias("inherited_licence")), "governing")
-    folders = scanned.select("folder").distinct()
+    by_name = own.join(scanned.where("named").select("row", "folder"), F.col("__row") == F.col("row")).select("folder", "licence", "cosine")
+    whole = cosines.where("whole").where(F.round("cosine", 9) >= FILE_COSINE).join(scanned.select("row", "folder"), "row").select("folder", "licence", "cosine")
+    governing = by_name.union(whole).groupBy("folder").agg(_best().alias("b"))
+    governing = governing.select("folder", F.col("b.licence").alias("inherited_licence"))
+    folders = store(scanned.groupBy("folder").agg(F.count(F.lit(1)).alias("files")), "folders")
     parts = F.split("folder", "/")
     up = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    nearest = folders.select("folder", F.explode(F.array_distinct(up)).alias("up")).join(bounded_broadcast(governing, BROADCAST_ROWS), "up")
-    nearest = nearest.groupBy(F.col("folder").alias("__folder")).agg(F.max_by(F.struct("inherited_licence", F.col("up").alias("inherited_from")), F.length("up")).alias("near"))
-    nearest = store(nearest, "nearest")
-    out = scanned.select("row", "doc_id", "path", "folder")
-    out = out.join(own, out.row == F.col("__row"), "left").join(bounded_broadcast(nearest, BROADCAST_ROWS), F.col("folder") == F.col("__folder"), "left")
+    ups = store(folders.select("folder", "files", F.explode(F.array_distinct(up)).alias("up")), "ups")
+    below = ups.groupBy("up").agg(F.count(F.lit(1)).alias("below"))
+    nearest = bounded_join(ups, store(below.join(governing, F.col("up") == F.col("folder")).drop("folder"), "governing"), "up", "below", "inner")
+    near = F.max_by(F.struct("inherited_licence", F.col("up").alias("inherited_from")), F.length("up")).alias("near")
+    nearest = store(nearest.groupBy("folder").agg(F.first("files").alias("files"), near), "nearest")
+    out = scanned.select("row", "doc_id", "path", "folder").where("folder is not null")
+    out = bounded_join(out, nearest, "folder", "files").unionByName(scanned.where("folder is null").select("row", "doc_id", "path", "folder"), True)
+    out = out.join(own, out.row == F.col("__row"), "left")
     none = F.col("licence").isNull()
     return out.select("doc_id", "path", "licence", "cosine", F.when(none, F.col("near.inherited_licence")).alias("inherited_licence"), F.when(none, F.col("near.inherited_from")).alias("inherited_from"))
 
@@ -189,7 +198,6 @@ def scan_documents(docs: DataFrame) -> DataFrame:
 
 def _sql() -> str:
     values = ", ".join(f"({n}, '{k}', '{t}', {c})" for n, k, t, c in template_terms())
-    key = _key_pattern()
     return rf"""
 WITH templates(template, licence, term, tf) AS (VALUES {values}),
 vocabulary AS (SELECT list(DISTINCT term) AS v FROM templates),
@@ -198,7 +206,7 @@ files AS (
 ),
 scanned AS (
   SELECT *, regexp_replace(path, '/?[^/]*$', '') AS folder,
-         list_filter(list_distinct(regexp_split_to_array(text, '\n[\x20\x09-\x0D]*\n') || string_split(text, chr(10))), lambda x: regexp_matches(lower(x), '{key}')) AS parts
+         list_distinct(regexp_split_to_array(text, '\n[\x20\x09-\x0D]*\n') || string_split(text, chr(10))) AS parts
   FROM files
 ),
 df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_intersect(list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9]+')), v)) AS term FROM files, vocabulary) GROUP BY term),
@@ -207,7 +215,7 @@ idf AS (SELECT term, ln((n + 1.0) / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELE
 own AS (SELECT template, licence, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS tw FROM templates JOIN idf USING (term)),
 segments AS (
   SELECT row, part, part AS body, false AS whole FROM (SELECT row, unnest(parts) AS part FROM scanned)
-  UNION ALL SELECT row, NULL, text, true FROM scanned WHERE regexp_matches(lower(text), '{key}')
+  UNION ALL SELECT row, NULL, text, true FROM scanned
 ),
 words AS (SELECT row, part, whole, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS term FROM segments),
 weighed AS (
@@ -223,7 +231,8 @@ cosines AS (
 best AS (SELECT row, min(struct_pack(c := -cosine, l := licence)) AS b FROM cosines WHERE cosine >= {LINE_COSINE} GROUP BY row),
 governing AS (
   SELECT folder, min(struct_pack(c := -cosine, l := licence)).l AS licence
-  FROM cosines JOIN scanned USING (row) WHERE whole AND cosine >= {FILE_COSINE} GROUP BY folder
+  FROM cosines JOIN scanned USING (row)
+  WHERE (whole AND cosine >= {FILE_COSINE}) OR (cosine >= {LINE_COSINE} AND regexp_matches(path, '{LICENCE_FILE}')) GROUP BY folder
 ),
 nearest AS (
   SELECT f.folder, max_by(struct_pack(l := g.licence, up := g.folder), length(g.folder)) AS near
