@@ -7,16 +7,24 @@ listed files are read, so files of lost attempts do no harm.
 
 Reading: files are cut into byte ranges. A task scans its range for gzip magic, accepts a
 candidate only if it decodes to a WARC header, and owns the records that start in its range,
-reading past its end to finish the last one. Payload digests are verified.
+reading past its end to finish the last one. Records of any type and origin are read (warcinfo, request,
+metadata and others too), header names in any case, SHA-1 digests in hexadecimal or base32. A record
+follows the one before it at once; where it does not, where a record does not decode to its end or where a payload
+does not match its digest, the file is damaged: this is an error, or with ``damaged='skip'`` such records are
+left out or marked.
 
 Defined results: a null html is an empty payload; a null url has no target header; null page ids
 are kept, and count as smallest when a response is chosen; of repeated rows with the largest page_id exactly
-one is the response; an empty table gives no rows. Only page_id, url and html are read. Files are
-reached through pyarrow's file systems, by the URI of the shared folder.
+one is the response; an empty table gives no rows. Only page_id, url and html are read. Of a record from
+elsewhere page_id and refers_to are null (record_id and refers_to_id say which it is); the payload of an HTTP message is
+what follows its head, that of any other record its block; a revisit has no payload, and payload_bytes
+from its HTTP head, null without; a payload digest that is missing or of another kind is replaced by the SHA-1 of
+the payload, or null for a revisit. Files are reached through pyarrow's file systems, by the URI of the shared folder.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -26,14 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulens.llm.common import bounded_broadcast, scratch_path, store
+from tabulens.llm.common import bounded_join, scratch_path, store
 
 REVISIT_BYTES = 1000
 #: A file is closed after so many bytes, and read in ranges of so many.
 FILE_BYTES, RANGE_BYTES = 256 << 20, 8 << 20
 READ_TASKS = 10_000
-#: Repeated payloads up to so many are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 100_000
 MAGIC, STEP = b"\x1f\x8b\x08", 1 << 16
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -50,8 +56,8 @@ def _record_id(page_id: int | None, row: int) -> str:
 
 
 def _page_id(record_id: str) -> int | None:
-    number = re.fullmatch(r"<urn:page:(-?\d*):\d+>", record_id)[1]
-    return int(number) if number else None
+    own = re.fullmatch(r"<urn:page:(-?\d*):\d+>", record_id or "")
+    return int(own[1]) if own and own[1] else None
 
 
 def record(page_id, row, url, payload: bytes, digest: str, refers: str | None) -> bytes:
@@ -102,17 +108,24 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES)
     )
     rows = store(rows, "pages")
     last = F.max(F.struct(F.col("page_id").isNotNull().alias("has_id"), "page_id", "row"))
-    equal = rows.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest", "bytes").agg(last.alias("r"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    equal = store(equal.select("digest", "bytes", F.col("r.page_id").alias("ref_id"), F.col("r.row").alias("ref_row")), "equal")
-    joined = rows.join(bounded_broadcast(equal, BROADCAST_ROWS), ["digest", "bytes"], "left")
+    equal = rows.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(last.alias("r"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    equal = store(equal.select("digest", "n", F.col("r.page_id").alias("ref_id"), F.col("r.row").alias("ref_row")), "equal")
+    joined = bounded_join(rows, equal, "digest", "n")
     ready = joined.select("page_id", "row", "url", "html", "digest", "ref_id", "ref_row")
     return store(ready.mapInArrow(_writer(folder, file_bytes), "path string, bytes long, records long"), "manifest")
 
 
-def members(source, size: int, start: int, end: int):
-    """The decoded gzip members of a WARC file that start in [start, end)."""
+class Damaged(ValueError):
+    """A file that does not hold what it should."""
+
+
+def members(source, size: int, start: int, end: int, strict: bool = False):
+    """The decoded gzip members of a WARC file that start in [start, end).
+
+    With ``strict`` a record that does not decode to its end and bytes between records are errors.
+    """
     data = source.read_at(min(size, end + len(MAGIC)) - start, start)
-    at = 0
+    at, due = 0, 0 if strict and start == 0 else None  # due: where the next record must start
     while (at := data.find(MAGIC, at)) >= 0 and start + at < end:
         inflate, out, fed = zlib.decompressobj(31), bytearray(), 0
         try:
@@ -126,39 +139,81 @@ def members(source, size: int, start: int, end: int):
                     raise zlib.error("no WARC header")
             if out[:5] != b"WARC/":
                 raise zlib.error("no WARC header")
-        except zlib.error:
+        except zlib.error as error:
+            if strict and out[:5] == b"WARC/":
+                raise Damaged(f"record at byte {start + at}: {error}") from error
             at += 1
             continue
+        if strict and due is not None and at != due:
+            raise Damaged(f"no record from byte {start + due} to {start + at}")
         yield bytes(out)
         at += fed - len(inflate.unused_data)
+        due = at if strict else None
+    if strict and due is not None and start + due < min(size, end):
+        raise Damaged(f"no record from byte {start + due} on")
+    # The next range's first record must follow the last one here.
+    if strict and due is not None and end <= start + due < size and source.read_at(len(MAGIC), start + due) != MAGIC:
+        raise Damaged(f"no record at byte {start + due}")
+
+
+def _headers(lines: list[bytes]) -> dict[str, str]:
+    """Fields by lower-cased name; a line that begins with white space goes on with the one before."""
+    fields, name = {}, ""
+    for line in lines:
+        if line[:1] in (b" ", b"\t") and name:
+            fields[name] += " " + line.decode("utf-8", "replace").strip()
+        elif b":" in line:
+            name, value = (x.strip() for x in line.decode("utf-8", "replace").split(":", 1))
+            name = name.lower()
+            fields[name] = value
+    return fields
+
+
+def _sha1(digest: str | None) -> str | None:
+    """A SHA-1 digest in hexadecimal from a labelled one in hexadecimal or base32; None for another kind."""
+    kind, _, value = (digest or "").partition(":")
+    if kind.lower() not in ("sha1", "sha-1"):
+        return None
+    if re.fullmatch(r"[0-9A-Fa-f]{40}", value):
+        return value.lower()
+    return base64.b32decode(value.upper()).hex() if re.fullmatch(r"[A-Za-z2-7]{32}", value) else None
 
 
 def parse(member: bytes) -> dict:
-    """The fields of a record written by ``record``, or another response or revisit record."""
+    """The fields of a WARC record; digest_ok: whether the payload has its digest, None if that can't be told."""
     head, _, rest = member.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    block = rest[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    refers = fields.get("WARC-Refers-To")
-    if refers is None:
-        size = len(payload)
-        if hashlib.sha1(payload).hexdigest() != digest:
-            raise ValueError(f"payload of {fields['WARC-Record-ID']} does not match its digest")
+    fields = _headers(head.split(b"\r\n")[1:])
+    size, record_id, kind = int(fields.get("content-length", len(rest))), fields.get("warc-record-id"), fields.get("warc-type", "")
+    if len(rest) < size:
+        raise Damaged(f"record {record_id} has {len(rest)} bytes of {size}")
+    block = rest[:size]
+    http, payload = {}, block
+    if fields.get("content-type", "").replace(" ", "").lower().startswith("application/http"):
+        top, _, payload = block.partition(b"\r\n\r\n")
+        http = _headers(top.split(b"\r\n")[1:])
+    digest, ok, n = _sha1(fields.get("warc-payload-digest")), None, None
+    if kind == "revisit":
+        payload, stated = None, http.get("content-length", "")
+        n = int(stated) if stated.isdigit() else None
     else:
-        size = int(re.search(rb"Content-Length: (\d+)", http)[1])
+        own, n = hashlib.sha1(payload).hexdigest(), len(payload)
+        # Some writers take the digest of a chunked or cut payload before, some after that.
+        if digest and "transfer-encoding" not in http and "warc-truncated" not in fields:
+            ok = own == digest
+        digest = digest or own
+    refers = fields.get("warc-refers-to")
     return {
-        "page_id": _page_id(fields["WARC-Record-ID"]), "payload_bytes": size, "payload_digest": digest, "record_type": fields["WARC-Type"],
-        "refers_to": _page_id(refers) if refers else None, "url": fields.get("WARC-Target-URI"), "payload": None if refers else payload,
+        "page_id": _page_id(record_id), "payload_bytes": n, "payload_digest": digest, "record_type": kind, "refers_to": _page_id(refers), "url": fields.get("warc-target-uri"),
+        "record_id": record_id, "refers_to_id": refers, "date": fields.get("warc-date"), "digest_ok": ok, "payload": payload,
     }
 
 
-RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
-_KINDS = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())]
+RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string, refers_to_id string, date string, digest_ok boolean, path string, payload binary"
+_ARROW = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
 
 
-def _reader(with_payload: bool):
-    schema = pa.schema(_KINDS if with_payload else _KINDS[:-1])
+def _reader(schema: str, strict: bool):
+    fields = pa.schema([(name, _ARROW[kind]) for name, kind in (f.split() for f in schema.split(", "))])
 
     def read(batches):
         for batch in batches:
@@ -166,32 +221,56 @@ def _reader(with_payload: bool):
                 system, name = _open(path)
                 with system.open_input_file(name) as source:
                     rows, held = [], 0
-                    for member in members(source, size, start, end):
-                        rows.append(parse(member))
-                        held += len(member)
-                        if held >= STEP * 64:
-                            yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                            rows, held = [], 0
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    try:
+                        for member in members(source, size, start, end, strict):
+                            try:
+                                rows.append(parse(member) | {"path": path})
+                            except Damaged:
+                                if strict:
+                                    raise
+                                continue
+                            if strict and rows[-1]["digest_ok"] is False:
+                                raise Damaged(f"payload of {rows[-1]['record_id']} does not match its digest")
+                            held += len(member)
+                            if held >= STEP * 64:
+                                yield pa.RecordBatch.from_pylist(rows, schema=fields)
+                                rows, held = [], 0
+                    except Damaged as error:
+                        raise Damaged(f"{path}: {error}") from error
+                    yield pa.RecordBatch.from_pylist(rows, schema=fields)
 
     return read
 
 
-def read_archives(manifest: DataFrame, with_payload: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """The records of the files in ``manifest`` (path, bytes)."""
+def read_archives(manifest: DataFrame, with_payload: bool = True, range_bytes: int = RANGE_BYTES, damaged: str = "raise") -> DataFrame:
+    """The records of the files in ``manifest`` (path, bytes). Damaged files are errors, or with
+    damaged='skip' what can be read of them is given."""
+    if damaged not in ("raise", "skip"):
+        raise ValueError(f"damaged: {damaged}")
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long")))
     ranges = manifest.select("path", "bytes", starts.alias("start"))
     ranges = ranges.select("path", "bytes", "start", F.least(F.col("start") + range_bytes, F.col("bytes")).alias("end"))
     schema = RECORDS if with_payload else RECORDS.removesuffix(", payload binary")
     # A range a task, up to READ_TASKS: without a number Spark would merge these few bytes of rows into one task.
     tasks = min(max(1, ranges.count()), READ_TASKS)
-    return ranges.repartition(tasks, "path", "start").mapInArrow(_reader(with_payload), schema)
+    return ranges.repartition(tasks, "path", "start").mapInArrow(_reader(schema, damaged == "raise"), schema)
+
+
+def checked(manifest: DataFrame, records: DataFrame) -> DataFrame:
+    """``records`` stored, if each file gave as many as ``manifest`` says; else an error."""
+    records = store(records, "records")
+    found = records.groupBy("path").agg(F.count(F.lit(1)).alias("found"))
+    short = manifest.join(found, "path", "left").where(F.coalesce("found", F.lit(0)) != F.col("records")).first()
+    if short is not None:
+        raise Damaged(f"{short.path} holds {short.found or 0} of {short.records} records")
+    return records
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each record read back."""
     manifest = write_archives(pages, scratch_path(spark, "warc"))
-    return read_archives(manifest, with_payload=False).drop("url")
+    records = checked(manifest, read_archives(manifest, with_payload=False))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP10_SQL = """
