@@ -5,6 +5,10 @@ digest (partial aggregation, so a digest that holds a third of the rows shuffles
 task), then sort-merge anti-joined with the index, and what is new is appended. The index side
 of that join needs neither exchange nor sort.
 
+Each row of the index has the name of the batch that brought it. A batch that failed half way, or whose
+result was lost, is given again under its name: its own digests count as new then, so the answer
+is the same, and only those that are not yet there are appended.
+
 Defined results: a null text counts as empty; texts are equal when they agree after each run of
 ASCII white space is one space; of equal texts the smallest doc_id stays, null ids last, and of
 repeated rows with one id exactly one; an empty table gives no rows. Only ``doc_id`` and
@@ -28,52 +32,68 @@ def with_digest(docs: DataFrame) -> DataFrame:
 
 
 class DigestIndex:
-    """A digest table at ``path``: created if missing, reopened if there; ``buckets`` must stay the same."""
+    """A digest table at ``path``: created if missing, reopened if there. ``buckets`` is kept beside it; to reopen
+    an index with another number is an error, as its files could not be read rightly. Files outlive the object;
+    its entry in the catalog goes with ``close`` or at the end of a ``with`` block."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int):
         self.spark, self.buckets = spark, buckets
+        about = f"{path.rstrip('/')}-buckets"
+        spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("ignore").parquet(about)
+        there = spark.read.schema("buckets int").parquet(about).first().buckets
+        if there != buckets:
+            raise ValueError(f"the index at {path} has {there} buckets, not {buckets}")
         self.name = f"digest_index_{uuid.uuid4().hex}"
+        quoted = path.replace("\\", "\\\\").replace("'", "\\'")
         spark.sql(
-            f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, keep_row BIGINT, n BIGINT) USING parquet "
-            f"OPTIONS (path '{path}') CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS"
+            f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, n BIGINT, batch STRING) USING parquet "
+            f"OPTIONS (path '{quoted}') CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS"
         )
 
+    def __enter__(self) -> DigestIndex:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def append(self, batch: DataFrame) -> None:
-        """Add the digests of ``batch`` (doc_id, digest, row) that the index lacks."""
-        first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
-        # Stored, as else the anti-join would be pushed below the aggregation and deal out every row.
-        groups = store(batch.groupBy("digest").agg(first.alias("f"), F.count(F.lit(1)).alias("n")), "groups")
+    def append(self, groups: DataFrame, batch: str) -> None:
+        """Add the digests of ``groups`` (digest, keep_id, n), a stored table, that the index lacks."""
         fresh = groups.join(self.rows().hint("merge"), "digest", "left_anti")
-        fresh.select("digest", F.col("f.doc_id").alias("keep_id"), F.col("f.row").alias("keep_row"), "n").write.insertInto(self.name)
+        fresh.select("digest", "keep_id", "n", F.lit(batch).alias("batch")).write.insertInto(self.name)
 
 
-def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Without ``index`` a new one is made in the shared scratch folder. Documents whose digest the
-    given index already held are not kept, and group_size then counts the batch that brought the
-    digest in.
+    Without ``index`` a new one is made in the shared scratch folder. Documents whose digest another batch
+    brought are not kept, and group_size then counts that batch. ``batch``: a name for these documents,
+    the same one when they are given again; without it each call is a batch of its own.
     """
-    spark = docs.sparkSession
-    batch = store(with_digest(docs), "digests")
-    known = index is not None
+    spark, batch = docs.sparkSession, batch or uuid.uuid4().hex
+    rows = store(with_digest(docs), "digests")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    groups = rows.groupBy("digest").agg(first.alias("f"), F.count(F.lit(1)).alias("n"))
+    # Stored, as else the anti-join would be pushed below the aggregation and deal out every row.
+    groups = store(groups.select("digest", F.col("f.doc_id").alias("keep_id"), F.col("f.row").alias("keep_row"), "n"), "groups")
     if index is None:
-        index = DigestIndex(spark, scratch_path(spark, "index"), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    before = store(index.rows().select("digest"), "known") if known else None
-    index.append(batch)
-    joined = join_groups(batch, index.rows(), "digest", "n")
-    if before is not None:
-        joined = joined.join(before.withColumn("old", F.lit(True)), "digest", "left")
-    stays = F.col("row") == F.col("keep_row")
-    return joined.select(
-        "doc_id",
-        "keep_id",
-        F.col("n").alias("group_size"),
-        (stays & F.col("old").isNull() if known else stays).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
+        with DigestIndex(spark, scratch_path(spark, "index"), int(spark.conf.get("spark.sql.shuffle.partitions"))) as own:
+            own.append(groups, batch)
+        found = groups.withColumns({"size": F.col("n"), "old": F.lit(False)})
+    else:
+        # A row per digest on both sides.
+        before = index.rows().where(F.col("batch") != batch).select("digest", F.col("keep_id").alias("old_id"), F.col("n").alias("old_n"), F.lit(True).alias("old"))
+        found = groups.join(before.hint("merge"), "digest", "left").withColumn("old", F.coalesce("old", F.lit(False)))
+        keep = F.when(F.col("old"), F.col("old_id")).otherwise(F.col("keep_id"))
+        found = store(found.select("digest", "n", "keep_row", "old", keep.alias("keep_id"), F.coalesce("old_n", "n").alias("size")), "found")
+        index.append(groups, batch)
+    return join_groups(rows, found, "digest", "n").select(
+        "doc_id", "keep_id", F.col("size").alias("group_size"), ((F.col("row") == F.col("keep_row")) & ~F.col("old")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 
