@@ -6,9 +6,11 @@ a beginning that recurs says more than one that occurs once. The machine has a w
 pairs, the product of two short vectors, so that two terms together can mean what neither means
 alone, such as an insult near the mention of a group.
 
-Fitting: the labels of at most SAMPLE documents (those whose ids hash lowest, a documented bound),
-the TERMS terms that tell the two labels apart best, found by a distributed count, and full-batch
-Adam over the sample's selected terms. Scoring runs over every whole text.
+Fitting: the labels of at most SAMPLE documents (those whose ids hash lowest, a documented bound; of rows
+that repeat an id, one text), the terms that tell the two labels apart best, found by a distributed count, and
+full-batch Adam over the sample's selected terms. There are at most TERMS terms, and no more than one for each
+DOCS_A_TERM labelled documents (but LEAST_TERMS), as more would be learned by heart; these bounds are
+parameters of the fit alone. Scoring runs over every whole text.
 
 Defined results: a null or blank text has no terms and gets the base score; without labels of
 both kinds every score is the share of label 1 (0 without any label); a null doc_id hashes as the
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulens.llm import words
-from tabulens.llm.common import store
+from tabulens.llm.common import BROADCAST_ROWS, store
 
 FOLDS = 5
 SAMPLE, TERMS, TERM_BITS = 20_000, 4096, 24
@@ -35,6 +37,7 @@ COUNTS = (1, 2, 3, 5)
 FACTORS, ROUNDS, RATE = 8, 300, 0.05
 #: Pull towards zero of weights and of pair vectors; the vectors are many, so they are held more.
 DECAY, PAIR_DECAY = 1e-3, 1.0
+DOCS_A_TERM, LEAST_TERMS = 2, 64
 #: Terms of fewer labelled documents say nothing.
 MIN_DOCS = 3
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -159,20 +162,22 @@ def _fold(doc_id: str = "doc_id"):
     return (F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % FOLDS).cast("int")
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> tuple[Machine, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS, docs_a_term: int = DOCS_A_TERM) -> tuple[Machine, np.ndarray]:
     """The machine and its terms, sorted."""
     known = labels.where("doc_id is not null and toxic is not null").where(_fold() != 0)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     known = store(known.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic")), "labelled")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    texts = store(texts.join(F.broadcast(known), F.col("doc_id") == F.col("__id")).select("toxic", "text"), "sample")
+    texts = texts.join(F.broadcast(known) if sample <= BROADCAST_ROWS else known, F.col("doc_id") == F.col("__id"))
+    # One text an id, partially aggregated: the bound on ids is one on rows.
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")
+    texts = store(texts.groupBy("__id").agg(F.first("toxic").alias("toxic"), one).select("toxic", "t.text"), "sample")
     counts = texts.mapInArrow(_all_terms, "term long, toxic long, n long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
     size, toxic = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     # The deviation from the count expected at the overall share, in standard deviations.
     share = toxic / size if size else 0.0
     apart = F.abs(F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * max(share * (1 - share), 1e-9))
-    # A term for two labelled documents at the most, as more would be learned by heart.
-    most = min(terms, max(64, size // 2))
+    most = min(terms, max(LEAST_TERMS, size // docs_a_term))
     best = counts.where(F.col("n") >= MIN_DOCS).orderBy(apart.desc(), "term").limit(most).select("term").toPandas()
     index = np.sort(best["term"].to_numpy(np.int64))
     picked = texts.mapInArrow(_picked_terms(index), "toxic int, terms array<long>").toPandas()
