@@ -1,18 +1,23 @@
 """Language-model scores by deleted interpolation.
 
-A bigram model: the probability of a token after another is a mix of a uniform share, the
-unigram and the bigram maximum-likelihood estimate. The weights depend on how often the context
-was seen (one set per power of two) and are learned by expectation-maximisation on counts held
-out from the training documents.
-
-How it runs: documents are dealt into blocks by a hash. Each block lists its distinct tokens and
-bigrams as sorted 64-bit hashes with its own counts, cut into key ranges. The owner of a range adds
+An n-gram model of order 2 or 3. The probability of a token after another is a mix of a uniform share,
+the unigram and the bigram maximum-likelihood estimate; at order 3 this mix is mixed in turn with the
+trigram estimate. The weights depend on how often the context (a token, and a pair of tokens) was
+seen (one set per power of two) and are learned by expectation-maximisation on counts held out from the
+training documents, those of the lower order first.
+
+How it runs: each task gathers its documents into blocks, stored as codes of tokens, so every block is as
+its task met it and no key or repeated row decides where a document goes. Each block lists its distinct
+tokens, bigrams and trigrams as sorted hashes with its own counts, cut into key ranges. The owner of a range adds
 up all blocks' counts and answers each block in the order of its list, so keys travel once and no
-task ever holds the model. Held-out training blocks then count how often each combination of context frequency,
-unigram and bigram probability occurs. This table has at most a fixed number of cells whatever
+task ever holds the model. Held-out training blocks then count how often each combination of context
+frequency and binned probabilities occurs. This table has at most a fixed number of cells whatever
 the input (probabilities are binned by eighths of an octave), and the weights are fitted on it.
 Last, each block scores its documents with the answers it got. All documents take part.
 
+Tokens are hashed to 64 bits, bigrams and trigrams to as many bits as the number of tokens asks for, so that
+one of them shares its hash with another in less than one of 2^SPARE cases, at any size of input.
+
 Defined results: words are lower-cased in A-Z; a null or blank text is its end token alone; a
 null doc_id hashes as the empty string; repeated rows count and are scored each; an empty table
 gives no rows. Only ``doc_id`` and ``text`` are read.
@@ -22,6 +27,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,90 +37,149 @@ from tabulens.llm.common import store, text_or_empty
 
 #: Documents with crc32(doc_id) mod FOLDS of 0 are never learned from; of the others, those with 1 teach the weights.
 FOLDS = 10
-#: Characters of text in a block, about.
-BLOCK_CHARS = 6_000_000
+#: Characters of text in a block, about; a longer text is a block by itself.
+BLOCK_CHARS, CHUNK = 4_000_000, 1_000_000
 #: Pseudo-count of the base distribution.
 ADD = 0.1
 ROUNDS = 40
+#: Order of the registered query's model.
+ORDER = 3
+#: Bits of a bigram's or trigram's hash beyond those that number the tokens.
+SPARE = 14
 #: Binned probabilities: BINS steps an octave, down to 2^-OCTAVES; context classes: powers of two.
 BINS, OCTAVES, CONTEXTS = 8, 40, 40
 SPAN = BINS * OCTAVES + 1
 _EDGE = np.array([1, 2], dtype=np.uint64)  # hashes of the text's begin and end
-UNI, BI = 0, 1
-
-
-class _Block:
-    """The tokens of a block's texts: ``flat`` (a hash each, with the ends) and the key lists."""
-
-    def __init__(self, texts: list[str | None]):
-        tokens, sizes = [], []
-        for a, b in words.chunks(texts):
-            codes, distinct, ends = words.split(texts[a:b])
-            hashed = words.hashes(distinct)[codes] if len(codes) else np.zeros(0, np.uint64)
-            tokens.append(np.insert(hashed, ends[1:], _EDGE[1]))
-            sizes.append(np.diff(ends) + 1)
-        self.flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-        self.sizes = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-        self.first = np.cumsum(self.sizes) - self.sizes
-        before = np.roll(self.flat, 1)
-        before[self.first] = _EDGE[0]
-        self.keys, self.codes = [], []
-        for key in (self.flat, words.combine([before, self.flat])):
-            coded = pa.array(key).dictionary_encode()
-            distinct = coded.dictionary.to_numpy()
-            order = np.argsort(distinct)
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            self.keys.append(distinct[order])
-            self.codes.append(place[coded.indices.to_numpy()])
+UNI, BI, TRI = 0, 1, 2
+_LEVELS = 3
 
-    def counts(self, kind: int, answers: np.ndarray) -> np.ndarray:
-        return answers[self.codes[kind]].astype(np.float64)
 
-    def context(self, tokens: np.ndarray, at_end: float) -> np.ndarray:
-        """Counts of the tokens before; a text's begin is seen as often as ends are."""
-        out = np.roll(tokens, 1)
-        out[self.first] = at_end
-        return out
+def _shrunk(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
-def _owner(keys: np.ndarray, owners: int) -> np.ndarray:
-    """The key range that holds each key; rises with the key."""
-    return ((keys >> np.uint64(32)) * np.uint64(owners)) >> np.uint64(32)
+def _grown(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
 
 
 def _packed(keys: np.ndarray) -> bytes:
     """Sorted keys as differences, byte plane by byte plane: the high planes are zeros, which compress away."""
-    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return _shrunk(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(_grown(raw), np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def _planes(counts: np.ndarray) -> bytes:
-    return counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return _shrunk(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def _from_planes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
-
-
-def _asker(owners: int):
-    def ask(docs: pa.Table) -> pa.Table:
-        block = _Block(docs["text"].to_pylist())
-        learned = np.repeat(docs["fold"].to_numpy() > 0, block.sizes)
-        rows = []
-        for kind in (UNI, BI):
-            keys = block.keys[kind]
-            counts = np.bincount(block.codes[kind][learned], minlength=len(keys))
-            owner = _owner(keys, owners)
-            cuts = np.flatnonzero(np.diff(owner, prepend=np.uint64(owners))) if len(keys) else []
-            for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
-                rows.append((int(owner[a]) * 2 + kind, _packed(keys[a:b]), _planes(counts[a:b])))
-        block_id, held = docs["block"][0].as_py(), docs["fold"][0].as_py() == 1
-        n = len(rows)
-        return pa.table({"owner": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([block_id] * n, pa.int64()), "dev": pa.array([held] * n, pa.bool_()), "keys": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
+    return np.ascontiguousarray(np.frombuffer(_grown(raw), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def _coded(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, sorted, and the place of each value among them."""
+    coded = pa.array(key).dictionary_encode()
+    distinct = coded.dictionary.to_numpy()
+    order = np.argsort(distinct)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return distinct[order], place[coded.indices.to_numpy()]
+
+
+CONTENT = "block long, dev boolean, n_tokens long, ids array<long>, held array<boolean>, sizes binary, keys binary, codes binary"
+_CONTENT = pa.schema(
+    [("block", pa.int64()), ("dev", pa.bool_()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.binary()), ("keys", pa.binary()), ("codes", pa.binary())]
+)
+
+
+def _gatherer(block_chars: int):
+    def gather(batches):
+        task, number = TaskContext.get().partitionId(), 0
+        held: dict[bool, list] = {False: [], True: []}
+        chars = {False: 0, True: 0}
+
+        def close(dev: bool) -> pa.RecordBatch:
+            nonlocal number
+            ids, folds, tokens, sizes = zip(*held[dev], strict=True)
+            keys, codes = _coded(np.concatenate(tokens))
+            number += 1
+            row = [(task << 32) + number, dev, len(codes), np.concatenate(ids).tolist(), (np.concatenate(folds) == 0).tolist(), _planes(np.concatenate(sizes)), _packed(keys), _planes(codes)]
+            held[dev], chars[dev] = [], 0
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _CONTENT, strict=True)], schema=_CONTENT)
+
+        for batch in batches:
+            ids, folds, texts = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            for a, b in words.chunks(texts, CHUNK):
+                codes, distinct, ends = words.split(texts[a:b])
+                hashed = words.hashes(distinct)[codes] if len(codes) else np.zeros(0, np.uint64)
+                tokens, sizes = np.insert(hashed, ends[1:], _EDGE[1]), np.diff(ends) + 1
+                for dev in (False, True):
+                    own = (folds[a:b] == 1) == dev
+                    if own.any():
+                        held[dev].append((ids[a:b][own], folds[a:b][own], tokens[np.repeat(own, sizes)], sizes[own]))
+                        chars[dev] += sum(len(t) + 1 for t, x in zip(texts[a:b], own, strict=True) if x)
+                        if chars[dev] >= block_chars:
+                            yield close(dev)
+        for dev in (False, True):
+            if held[dev]:
+                yield close(dev)
+
+    return gather
+
+
+class _Block:
+    """The tokens of a block: sizes and first places of its texts, and for each order of n-gram the sorted
+    keys and each token's place among them."""
+
+    def __init__(self, row: dict, bits: int, order: int):
+        self.sizes = _from_planes(row["sizes"]).astype(np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.keys, self.codes = [_unpacked(row["keys"])], [_from_planes(row["codes"]).astype(np.int64)]
+        grams = [self.keys[0][self.codes[0]]]
+        for _ in range(order - 1):
+            before = np.roll(grams[0], 1)
+            before[self.first] = _EDGE[0]
+            grams.insert(0, before)
+            keys, codes = _coded(words.combine(grams) >> np.uint64(64 - bits))
+            self.keys.append(keys)
+            self.codes.append(codes)
+
+    def counts(self, kind: int, answers: np.ndarray) -> np.ndarray:
+        return answers[self.codes[kind]].astype(np.float64)
+
+    def context(self, counts: np.ndarray, at_end: float) -> np.ndarray:
+        """Counts of what stands before; a text's begin is seen as often as ends are."""
+        out = np.roll(counts, 1)
+        out[self.first] = at_end
+        return out
+
+
+def _owner(keys: np.ndarray, owners: int, bits: int) -> np.ndarray:
+    """The key range that holds each key; rises with the key."""
+    return (((keys << np.uint64(64 - bits)) >> np.uint64(32)) * np.uint64(owners)) >> np.uint64(32)
+
+
+_ASKED = pa.schema([("owner", pa.int64()), ("block", pa.int64()), ("dev", pa.bool_()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+
+def _asker(owners: int, bits: int, order: int):
+    def ask(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = _Block(row, bits, order)
+                learned = np.repeat(~np.array(row["held"], bool), block.sizes)
+                rows = []
+                for kind in range(order):
+                    keys = block.keys[kind]
+                    counts = np.bincount(block.codes[kind][learned], minlength=len(keys))
+                    owner = _owner(keys, owners, bits if kind else 64)
+                    cuts = np.flatnonzero(np.diff(owner, prepend=np.uint64(owners)))
+                    for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+                        rows.append((int(owner[a]) * _LEVELS + kind, row["block"], row["dev"], _packed(keys[a:b]), _planes(counts[a:b])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ASKED, strict=True)], schema=_ASKED)
 
     return ask
 
@@ -139,28 +205,46 @@ def _answer(asked: pa.Table) -> pa.Table:
         mine = code[at : at + len(k)]
         rows.append((b, owner, _planes(fit[mine]) if d else b"", _planes(train[mine]), 0, 0, 0, 0))
         at += len(k)
-    if owner % 2 == UNI:
+    if owner % _LEVELS == UNI:
         rows.append((-1, owner, b"", b"", int(fit.sum()), int((fit > 0).sum()), int(train.sum()), int((train > 0).sum())))
     names = [f.split()[0] for f in ANSWER.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * 4]
     return pa.table({n: pa.array(c, k) for n, k, c in zip(names, kinds, zip(*rows, strict=True), strict=True)})
 
 
-def _given(answers: pa.Table, column: str) -> list[np.ndarray]:
-    """Counts in key order, of tokens and of bigrams."""
+def _given(answers: pa.Table, column: str, order: int) -> list[np.ndarray]:
+    """Counts in key order, of tokens, bigrams and so on."""
     out = []
-    for kind in (UNI, BI):
-        rows = sorted((o, c) for o, c in zip(answers["owner"].to_pylist(), answers[column].to_pylist(), strict=True) if o % 2 == kind)
-        out.append(np.concatenate([_from_planes(c) for _, c in rows]) if rows else np.zeros(0, np.uint32))
+    for kind in range(order):
+        rows = sorted((o, c) for o, c in zip(answers["owner"].to_pylist(), answers[column].to_pylist(), strict=True) if o % _LEVELS == kind)
+        out.append(np.concatenate([_from_planes(c) for _, c in rows]) if rows else np.zeros(0, np.int64))
     return out
 
 
-def _probabilities(block: _Block, given: list[np.ndarray], n: int):
-    """Per token: its count, its context's count, unigram and bigram estimate."""
-    token, pair = block.counts(UNI, given[UNI]), block.counts(BI, given[BI])
-    end = given[UNI][np.searchsorted(block.keys[UNI], _EDGE[1])]
-    context = block.context(token, float(end))
-    return token, context, token / max(n, 1), np.divide(pair, context, out=np.zeros_like(pair), where=context > 0)
+class _Estimates:
+    """Per token of a block: its count, and for each order the count of its context and its maximum-likelihood estimate."""
+
+    def __init__(self, block: _Block, given: list[np.ndarray], n: int):
+        counts = [block.counts(kind, g) for kind, g in enumerate(given)]
+        end = float(given[UNI][np.searchsorted(block.keys[UNI], _EDGE[1])])
+        self.token = counts[UNI]
+        self.contexts, self.p = [None], [counts[UNI] / max(n, 1)]
+        for kind in range(1, len(given)):
+            context = block.context(counts[kind - 1], end)
+            self.contexts.append(context)
+            self.p.append(np.divide(counts[kind], context, out=np.zeros_like(context), where=context > 0))
+
+    def mixed(self, v: int, weights: np.ndarray) -> np.ndarray:
+        """Uniform, unigram and bigram share."""
+        own = weights[_context_class(self.contexts[BI])]
+        return own[:, 0] / (v + 1) + own[:, 1] * self.p[UNI] + own[:, 2] * self.p[BI]
+
+    def score(self, v: int, weights: np.ndarray, shares: np.ndarray | None) -> np.ndarray:
+        low = self.mixed(v, weights)
+        if shares is None:
+            return low
+        own = shares[_context_class(self.contexts[TRI])]
+        return (1 - own) * low + own * self.p[TRI]
 
 
 def _context_class(context: np.ndarray) -> np.ndarray:
@@ -173,25 +257,48 @@ def _bin(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, 1 + np.clip(level, 0, SPAN - 2), 0)
 
 
-def _cell_counter(n_fit: int):
-    def count(docs: pa.Table, answers: pa.Table) -> pa.Table:
+def _cell_counter(n_fit: int, bits: int, order: int, lower: tuple[int, np.ndarray] | None):
+    """Cells of context class and two binned probabilities: unigram and bigram, or with ``lower`` (v and
+    weights of the lower orders) their mix and trigram."""
+
+    def count(content: pa.Table, answers: pa.Table) -> pa.Table:
         cells, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if docs.num_rows and answers.num_rows:
-            block = _Block(docs["text"].to_pylist())
-            _, context, p1, p2 = _probabilities(block, _given(answers, "fit"), n_fit)
-            cells, n = np.unique((_context_class(context) * SPAN + _bin(p1)) * SPAN + _bin(p2), return_counts=True)
+        if content.num_rows and answers.num_rows:
+            found = _Estimates(_Block(content.to_pylist()[0], bits, order), _given(answers, "fit", order), n_fit)
+            kind, low = (BI, found.p[UNI]) if lower is None else (TRI, found.mixed(*lower))
+            cells, n = np.unique((_context_class(found.contexts[kind]) * SPAN + _bin(low)) * SPAN + _bin(found.p[kind]), return_counts=True)
         return pa.table({"cell": pa.array(cells, pa.int64()), "n": pa.array(n, pa.int64())})
 
     return count
 
 
+def _cells(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context class and the two probabilities of each cell."""
+    context, rest = np.divmod(cells, SPAN * SPAN)
+    value = lambda b: np.where(b > 0, 2.0 ** (-(b - 0.5) / BINS), 0.0)
+    low, high = np.divmod(rest, SPAN)
+    return context, value(low), value(high)
+
+
+def fit_shares(cells: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Per context class, the trigram's share beside the lower orders' mix. It starts from, and leans by one
+    token's worth towards, a half; after an unseen context there is none."""
+    context, low, high = _cells(cells)
+    shares = np.full(CONTEXTS, 0.5)
+    total = np.bincount(context, n, CONTEXTS) + 1
+    for _ in range(rounds):
+        own = shares[context]
+        both = own * high + (1 - own) * low
+        shares = (np.bincount(context, n * np.divide(own * high, both, out=np.zeros_like(both), where=both > 0), CONTEXTS) + 0.5) / total
+    shares[0] = 0
+    return shares
+
+
 def fit_weights(cells: np.ndarray, n: np.ndarray, v: int, rounds: int = ROUNDS) -> np.ndarray:
     """Weights (contexts x 3: uniform, unigram, bigram) that make the counted cells most likely.
     Each context class starts from, and leans by one token's worth towards, equal weights."""
-    context, rest = np.divmod(cells, SPAN * SPAN)
-    b1, b2 = np.divmod(rest, SPAN)
-    value = lambda b: np.where(b > 0, 2.0 ** (-(b - 0.5) / BINS), 0.0)
-    p = np.stack([np.full(len(cells), 1 / (v + 1)), value(b1), value(b2)], axis=1)
+    context, p1, p2 = _cells(cells)
+    p = np.stack([np.full(len(cells), 1 / (v + 1)), p1, p2], axis=1)
     weights = np.full((CONTEXTS, 3), 1 / 3)
     for _ in range(rounds):
         share = weights[context] * p
@@ -207,43 +314,48 @@ def fit_weights(cells: np.ndarray, n: np.ndarray, v: int, rounds: int = ROUNDS)
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scorer(n: int, v: int, weights: np.ndarray):
-    def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        names = [f.split()[0] for f in SCORES.split(", ")]
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        if not docs.num_rows:
+def _scorer(n: int, v: int, bits: int, order: int, weights: np.ndarray, shares: np.ndarray | None):
+    names = [f.split()[0] for f in SCORES.split(", ")]
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+
+    def score(content: pa.Table, answers: pa.Table) -> pa.Table:
+        if not content.num_rows:
             return pa.table({x: pa.array([], k) for x, k in zip(names, kinds, strict=True)})
-        block = _Block(docs["text"].to_pylist())
-        token, context, p1, p2 = _probabilities(block, _given(answers, "train"), n)
-        own = weights[_context_class(context)]
-        mixed = own[:, 0] / (v + 1) + own[:, 1] * p1 + own[:, 2] * p2
+        row = content.to_pylist()[0]
+        block = _Block(row, bits, order)
+        found = _Estimates(block, _given(answers, "train", order), n)
         per_doc = lambda x: np.add.reduceat(x, block.first)
-        base = per_doc(np.log10((token + ADD) / (n + ADD * (v + 1))))
-        known = per_doc((token > 0).astype(np.int64))
-        columns = [docs["doc_id"], docs["fold"].to_numpy() == 0, block.sizes, known, np.full(len(known), n), base, per_doc(np.log10(mixed))]
-        return pa.table({x: c if x == "doc_id" else pa.array(c, k) for x, k, c in zip(names, kinds, columns, strict=True)})
+        base = per_doc(np.log10((found.token + ADD) / (n + ADD * (v + 1))))
+        known = per_doc((found.token > 0).astype(np.int64))
+        columns = [row["ids"], row["held"], block.sizes, known, np.full(len(known), n), base, per_doc(np.log10(found.score(v, weights, shares)))]
+        return pa.table({x: pa.array(c, k) for x, k, c in zip(names, kinds, columns, strict=True)})
 
     return score
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = 2) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    if order not in (2, 3):
+        raise ValueError(f"order: {order}")
     spark = docs.sparkSession
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), fold.cast("int").alias("fold"))
-    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    owners = int(chars // BLOCK_CHARS) + max(4, spark.sparkContext.defaultParallelism)
-    # Blocks that teach the weights are numbered after the others.
-    teaching = owners // (FOLDS - 1) + 1
-    place = F.xxhash64("doc_id", "text")
-    block = F.when(F.col("fold") == 1, F.pmod(place, F.lit(teaching)) + owners).otherwise(F.pmod(place, F.lit(owners)))
-    dealt = texts.withColumn("block", block)
-    asked = dealt.groupBy("block").applyInArrow(_asker(owners), "owner long, block long, dev boolean, keys binary, counts binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold.cast("int").alias("fold"), text_or_empty().alias("text"))
+    content = store(texts.mapInArrow(_gatherer(BLOCK_CHARS), CONTENT), "blocks")
+    blocks, tokens = content.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    bits = min(64, tokens.bit_length() + SPARE)
+    owners = blocks + max(4, spark.sparkContext.defaultParallelism)
+    asked = content.mapInArrow(_asker(owners, bits, order), "owner long, block long, dev boolean, keys binary, counts binary")
     answers = store(asked.groupBy("owner").applyInArrow(_answer, ANSWER), "answers")
     sums = answers.where("block < 0").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_fit", "v_fit", "n_train", "v_train")]).first()
     by_block = answers.where("block >= 0").select(F.col("block").alias("of"), "owner", "fit", "train")
-    dev = dealt.where("fold = 1").groupBy("block").cogroup(by_block.where(F.col("of") >= owners).groupBy("of"))
-    cells = dev.applyInArrow(_cell_counter(sums.n_fit), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    weights = fit_weights(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.int64), sums.v_fit)
-    every = dealt.groupBy("block").cogroup(by_block.groupBy("of"))
-    return every.applyInArrow(_scorer(sums.n_train, sums.v_train, weights), SCORES)
+    # Only the held-out blocks have answers without them.
+    taught = content.where("dev").groupBy("block").cogroup(by_block.where("length(fit) > 0").groupBy("of"))
+
+    def cells(lower):
+        found = taught.applyInArrow(_cell_counter(sums.n_fit, bits, order, lower), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+        return found["cell"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+
+    weights = fit_weights(*cells(None), sums.v_fit)
+    shares = fit_shares(*cells((sums.v_fit, weights))) if order == 3 else None
+    every = content.groupBy("block").cogroup(by_block.groupBy("of"))
+    return every.applyInArrow(_scorer(sums.n_train, sums.v_train, bits, order, weights, shares), SCORES)

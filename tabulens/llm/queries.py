@@ -8,7 +8,7 @@ from tabulens.llm.mixing import OP1_SQL, mixture
 from tabulens.llm.quality import OP4_SQL, judge
 from tabulens.llm.near_dedup import near_duplicates
 from tabulens.llm.packing import pack
-from tabulens.llm.lm import score_documents
+from tabulens.llm.lm import ORDER, score_documents
 from tabulens.llm.warc import OP10_SQL, round_trip
 from tabulens.llm.toxicity import score_toxicity
 from tabulens.llm.line_dedup import OP6_SQL, lines_report
@@ -19,7 +19,7 @@ QUERIES: dict = {
     "op6_line_dedup": lambda spark, sf: lines_report(table(spark, sf, "documents")),
     "op5_toxicity": lambda spark, sf: score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op10_warc": lambda spark, sf: round_trip(spark, table(spark, sf, "pages")),
-    "op3_lm_scoring": lambda spark, sf: score_documents(table(spark, sf, "documents")),
+    "op3_lm_scoring": lambda spark, sf: score_documents(table(spark, sf, "documents"), ORDER),
     "op2_packing": lambda spark, sf: pack(table(spark, sf, "documents")),
     "op9_near_dedup": lambda spark, sf: near_duplicates(table(spark, sf, "documents")),
     "op4_quality": lambda spark, sf: judge(table(spark, sf, "documents")),
