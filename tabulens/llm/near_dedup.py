@@ -50,7 +50,7 @@ FULL = SKETCH * 75 // 100
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Rows of a group that one task compares with each other: unlinked members, and all members.
-BLOCK_LEFT, BLOCK_ALL = 256, 1024
+BLOCK_LEFT, BLOCK_ALL = 64, 192
 
 
 def _sketches(batches):
