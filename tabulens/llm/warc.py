@@ -119,6 +119,15 @@ class Damaged(ValueError):
     """A file that does not hold what it should."""
 
 
+def _begins(piece: bytes) -> bool:
+    """Whether a gzip member begins here whose first bytes are a WARC header's. No more is decoded, so
+    damage further on does not hide it."""
+    try:
+        return zlib.decompressobj(31).decompress(piece, 5) == b"WARC/"
+    except zlib.error:
+        return False
+
+
 def members(source, size: int, start: int, end: int, strict: bool = False):
     """The decoded gzip members of a WARC file that start in [start, end).
 
@@ -127,6 +136,9 @@ def members(source, size: int, start: int, end: int, strict: bool = False):
     data = source.read_at(min(size, end + len(MAGIC)) - start, start)
     at, due = 0, 0 if strict and start == 0 else None  # due: where the next record must start
     while (at := data.find(MAGIC, at)) >= 0 and start + at < end:
+        if not _begins(data[at : at + STEP] if len(data) - at >= STEP else source.read_at(min(STEP, size - start - at), start + at)):
+            at += 1
+            continue
         inflate, out, fed = zlib.decompressobj(31), bytearray(), 0
         try:
             while not inflate.eof:
@@ -135,12 +147,8 @@ def members(source, size: int, start: int, end: int, strict: bool = False):
                     raise zlib.error("cut off")
                 fed += len(piece)
                 out += inflate.decompress(piece)
-                if len(out) >= 5 and out[:5] != b"WARC/":
-                    raise zlib.error("no WARC header")
-            if out[:5] != b"WARC/":
-                raise zlib.error("no WARC header")
         except zlib.error as error:
-            if strict and out[:5] == b"WARC/":
+            if strict:
                 raise Damaged(f"record at byte {start + at}: {error}") from error
             at += 1
             continue
@@ -152,7 +160,7 @@ def members(source, size: int, start: int, end: int, strict: bool = False):
     if strict and due is not None and start + due < min(size, end):
         raise Damaged(f"no record from byte {start + due} on")
     # The next range's first record must follow the last one here.
-    if strict and due is not None and end <= start + due < size and source.read_at(len(MAGIC), start + due) != MAGIC:
+    if strict and due is not None and end <= start + due < size and not _begins(source.read_at(min(STEP, size - start - due), start + due)):
         raise Damaged(f"no record at byte {start + due}")
 
 
