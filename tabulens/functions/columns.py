@@ -62,12 +62,17 @@ def pairwise_correlation(a: Column, b: Column) -> Column:
 
 
 def per_column(df: DataFrame, columns: list[str], measures) -> DataFrame:
-    """One row per column from one aggregation: ``measures(column)`` gives named aggregates."""
+    """One row per column from one aggregation: ``measures(column)`` gives named aggregates. No rows without columns."""
+    if not columns:
+        none = {n: v.alias(n) for n, v in measures(F.lit(None).cast("double")).items()}
+        return df.agg(F.lit(0).alias("position"), F.lit("").alias("column"), *none.values()).where(F.lit(False))
     structs = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), *[v.alias(n) for n, v in measures(q(c)).items()]) for i, c in enumerate(columns)]
     return df.agg(F.array(*structs).alias("rows")).select(F.inline("rows"))
 
 
 def long_values(df: DataFrame, columns: list[str], value=lambda c: c.cast("string")) -> DataFrame:
     """(position, column, value) rows of the given columns, by one pass without a shuffle."""
+    if not columns:
+        return df.select(F.lit(0).alias("position"), F.lit("").alias("column"), value(F.lit(None).cast("string")).alias("value")).where(F.lit(False))
     structs = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), value(q(c)).alias("value")) for i, c in enumerate(columns)]
     return df.select(F.inline(F.array(*structs)))

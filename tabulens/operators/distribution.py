@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulens.functions.columns import adjusted_skew, long_values, nan_to_null, numeric_columns, per_column, percent, q, skew_label
-from tabulens.operators.profile import numeric_stats
+from tabulens.operators.profile import numeric_stats, quartiles
 from tabulens.operators.quantiles import quantiles
 
 
@@ -31,33 +31,34 @@ def sigma_outliers(df: DataFrame, columns: list[str] | None = None, sigmas: floa
     return stats.select("position", "column").join(F.broadcast(found), "position", "left").na.fill(0, ["outliers"])
 
 
-def describe_distribution(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
+def describe_distribution(df: DataFrame, columns: list[str] | None = None, approx: bool = False, found: DataFrame | None = None) -> DataFrame:
     """position, column, n, mean, median, std, min, max, skew, label, outliers (three sigmas)."""
     df = nan_to_null(df)
     columns = _chosen(df, columns)
     skews = per_column(df, columns, lambda c: {"skew": adjusted_skew(c.cast("double"))}).drop("column")
-    out = numeric_stats(df, columns, approx).join(skews, "position").join(sigma_outliers(df, columns).drop("column"), "position")
+    out = numeric_stats(df, columns, approx, found).join(skews, "position").join(sigma_outliers(df, columns).drop("column"), "position")
     return out.withColumn("label", skew_label(F.col("skew")))
 
 
-def fences(df: DataFrame, columns: list[str], factor: float = 1.5, approx: bool = False) -> DataFrame:
+def fences(df: DataFrame, columns: list[str], factor: float = 1.5, approx: bool = False, found: DataFrame | None = None) -> DataFrame:
     """position, column, q1, q3, low, high."""
-    found = quantiles(nan_to_null(df), columns, [0.25, 0.75], approx)
-    found = found.select("position", "column", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("q3"))
+    first, third = (1, 3) if found is not None else (0, 1)
+    found = quantiles(nan_to_null(df), columns, [0.25, 0.75], approx) if found is None else found
+    found = found.select("position", "column", F.get("q", F.lit(first)).alias("q1"), F.get("q", F.lit(third)).alias("q3"))
     spread = (F.col("q3") - F.col("q1")) * factor
     return found.withColumns({"low": F.col("q1") - spread, "high": F.col("q3") + spread})
 
 
-def iqr_outliers(df: DataFrame, columns: list[str] | None = None, factor: float = 1.5, approx: bool = False) -> DataFrame:
+def iqr_outliers(df: DataFrame, columns: list[str] | None = None, factor: float = 1.5, approx: bool = False, found: DataFrame | None = None) -> DataFrame:
     """position, column, q1, q3, low, high, outliers, percent of all rows; columns without outliers are left out."""
     df = nan_to_null(df)
     columns = _chosen(df, columns)
-    limits = fences(df, columns, factor, approx)
+    limits = fences(df, columns, factor, approx, found)
     out = (F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))
     hits = _values(df, columns).join(F.broadcast(limits.drop("column")), "position").where(out)
-    found = hits.groupBy("position").agg(F.count(F.lit(1)).alias("outliers"))
+    hits = hits.groupBy("position").agg(F.count(F.lit(1)).alias("outliers"))
     rows = df.agg(F.count(F.lit(1)).alias("rows"))
-    return limits.join(F.broadcast(found), "position").crossJoin(F.broadcast(rows)).withColumn("percent", percent(F.col("outliers"), F.col("rows"), 2)).drop("rows")
+    return limits.join(F.broadcast(hits), "position").crossJoin(F.broadcast(rows)).withColumn("percent", percent(F.col("outliers"), F.col("rows"), 2)).drop("rows")
 
 
 def outlier_rows(df: DataFrame, column: str, factor: float = 1.5, approx: bool = False) -> DataFrame:
@@ -72,10 +73,9 @@ def nan_value(column: str):
     return F.when(~F.isnan(v), v)
 
 
-def five_numbers(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
+def five_numbers(df: DataFrame, columns: list[str] | None = None, approx: bool = False, found: DataFrame | None = None) -> DataFrame:
     """position, column, min, q1, median, q3, max."""
-    df = nan_to_null(df)
-    found = quantiles(df, _chosen(df, columns), [0.0, 0.25, 0.5, 0.75, 1.0], approx)
+    found = quartiles(df, _chosen(df, columns), approx, found)
     return found.select("position", "column", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("min", "q1", "median", "q3", "max"))])
 
 
@@ -88,7 +88,11 @@ def _binned(df: DataFrame, columns: list[str], plan: DataFrame) -> DataFrame:
     return counted.select("position", "column", "bin", (F.col("lo") + F.col("bin") * width).alias("low"), (F.col("lo") + (F.col("bin") + 1) * width).alias("high"), "n")
 
 
-def histogram(df: DataFrame, columns: list[str] | None = None, bins: int | str = 10, approx: bool = False) -> DataFrame:
+#: Columns of more values than this by estimate are taken to have more than a histogram's bins; the estimate is off by 5 %.
+MANY_VALUES = 50
+
+
+def histogram(df: DataFrame, columns: list[str] | None = None, bins: int | str = 10, approx: bool = False, found: DataFrame | None = None) -> DataFrame:
     """Equal-width bins between a column's extremes, the last one closed.
 
     ``bins``: at most so many, and no more than the column has different values (a missing value
@@ -97,18 +101,24 @@ def histogram(df: DataFrame, columns: list[str] | None = None, bins: int | str =
     df = nan_to_null(df)
     columns = _chosen(df, columns)
     if bins == "fd":
-        found = quantiles(df, columns, [0.0, 0.25, 0.75, 1.0], approx)
-        at = lambda i: F.get("q", F.lit(i))
+        found = quartiles(df, columns, approx, found)
+        at = lambda i: F.get("q", F.lit((0, 1, 3, 4)[i]))
         sturges = F.ceil(F.log2(F.col("n")) + 1)
         step = 2 * (at(2) - at(1)) / F.cbrt(F.col("n"))
         fd = F.when(step > 0, F.ceil((at(3) - at(0)) / step))
         number = F.when(at(3) == at(0), F.lit(1)).otherwise(F.greatest(sturges, F.coalesce(fd, F.lit(1))))
         plan = found.where("n > 0").select("position", "column", at(0).alias("lo"), at(3).alias("hi"), number.alias("bins"))
     else:
-        plan = per_column(df, columns, lambda c: {"lo": F.min(c.cast("double")), "hi": F.max(c.cast("double")), "gaps": F.count_if(c.isNull())}).where("lo is not null")
-        few = _values(df, columns).groupBy("position", "value").agg(F.lit(1)).groupBy("position").agg(F.count(F.lit(1)).alias("d"))
-        number = F.least(F.lit(bins), F.col("d") + F.when(F.col("gaps") > 0, 1).otherwise(0))
-        plan = plan.join(F.broadcast(few), "position").select("position", "column", "lo", "hi", number.alias("bins"))
+        plan = per_column(df, columns, lambda c: {"lo": F.min(c.cast("double")), "hi": F.max(c.cast("double")), "gaps": F.count_if(c.isNull()), "about": F.approx_count_distinct(c.cast("double"), 0.05)})
+        rows = plan.where("lo is not null").collect()  # a row per column
+        # Only columns of few values have them counted, so no column's values are all shuffled.
+        some = [r.position for r in rows if r.about <= max(MANY_VALUES, 2 * bins)]
+        exact = {}
+        if some:
+            values = _values(df, [columns[i] for i in some]).select("position", "value").distinct()
+            exact = {some[r.position]: r.d for r in values.groupBy("position").agg(F.count(F.lit(1)).alias("d")).collect()}
+        known = [(r.position, r.column, r.lo, r.hi, min(bins, exact.get(r.position, bins) + (r.gaps > 0))) for r in rows]
+        plan = df.sparkSession.createDataFrame(known, "position int, column string, lo double, hi double, bins int")
     return _binned(df, columns, plan)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulens.functions.columns import nan_to_null, per_column
 from tabulens.operators.categorical import category_samples
 from tabulens.operators.profile import dtype_histogram, missing_total, missing_values, missing_worst, numeric_stats
 
@@ -15,16 +16,16 @@ def missing_comment(df: DataFrame) -> DataFrame:
     return missing_worst(df).select(F.when(F.col("column").isNotNull(), some).otherwise("no missing values").alias("comment"))
 
 
-def distribution_comments(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
-    """column, comment: median and extremes."""
-    stats = numeric_stats(df, columns, approx)
+def distribution_comments(df: DataFrame, columns: list[str] | None = None, approx: bool = False, found: DataFrame | None = None) -> DataFrame:
+    """column, comment: median and extremes. ``found``: the columns' five numbers, if they are known."""
+    stats = numeric_stats(df, columns, approx, found)
     return stats.select("column", F.format_string("median %.2f, from %.2f to %.2f", "median", "min", "max").alias("comment"))
 
 
 def trend_comments(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, comment: the range of the value over the time shown."""
-    stats = numeric_stats(df, columns, approx=True)
-    return stats.select("column", F.format_string("from %.2f to %.2f", "min", "max").alias("comment"))
+    ends = per_column(nan_to_null(df), columns, lambda c: {"min": F.min(c.cast("double")), "max": F.max(c.cast("double"))})
+    return ends.select("column", F.format_string("from %.2f to %.2f", "min", "max").alias("comment"))
 
 
 def dataset_summary(df: DataFrame) -> DataFrame:

@@ -10,7 +10,15 @@ from tabulens.functions.columns import long_values, nan_to_null, numeric_columns
 from tabulens.operators.quantiles import quantiles
 
 
-def numeric_stats(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
+FIVE = [0.0, 0.25, 0.5, 0.75, 1.0]
+
+
+def quartiles(df: DataFrame, columns: list[str], approx: bool = False, found: DataFrame | None = None) -> DataFrame:
+    """position, column, n, q: the FIVE quantiles, for all sections that need any of them; ``found`` if they are known."""
+    return quantiles(nan_to_null(df), columns, FIVE, approx) if found is None else found
+
+
+def numeric_stats(df: DataFrame, columns: list[str] | None = None, approx: bool = False, found: DataFrame | None = None) -> DataFrame:
     """position, column, n, mean, median, std, min, max of numeric columns, missing values left out."""
     df = nan_to_null(df)
     columns = numeric_columns(df) if columns is None else columns
@@ -18,7 +26,10 @@ def numeric_stats(df: DataFrame, columns: list[str] | None = None, approx: bool
         df, columns,
         lambda c: {"mean": F.avg(c.cast("double")), "std": F.stddev_samp(c.cast("double")), "min": F.min(c.cast("double")), "max": F.max(c.cast("double"))},
     )
-    middle = quantiles(df, columns, [0.5], approx).select("position", "n", F.get("q", F.lit(0)).alias("median"))
+    if found is None:
+        middle = quantiles(df, columns, [0.5], approx).select("position", "n", F.get("q", F.lit(0)).alias("median"))
+    else:
+        middle = found.select("position", "n", F.get("q", F.lit(2)).alias("median"))
     return moments.join(middle, "position").select("position", "column", "n", "mean", "median", "std", "min", "max")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,19 +24,30 @@ def format_of(path: str) -> str:
     return found
 
 
-def _delimited(spark: SparkSession, path: str, sep: str, schema: T.StructType | None, encoding: str) -> DataFrame:
-    reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
-    # A quoted field may hold a line break only where the whole file goes to one task, so it may not here.
+def _delimited(spark: SparkSession, path: str, sep: str, schema: T.StructType | None, encoding: str, multi_line: bool) -> DataFrame:
+    reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("multiLine", multi_line)
+    # As RFC 4180 has it: a quote in a quoted field is doubled.
+    reader = reader.option("escape", '"') if multi_line else reader
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
-def _csv(spark: SparkSession, path: str, sep: str, schema: T.StructType | None) -> DataFrame:
-    df = _delimited(spark, path, sep, schema, "UTF-8")
+def _open_quotes(spark: SparkSession, path: str, sep: str) -> bool:
+    """Whether a line ends within a quoted field, which goes on in the next one."""
+    s, line = re.escape(sep), F.regexp_replace("value", '""', "")
+    opened = line.rlike(f'(^|{s})"[^"]*$')
+    return spark.read.text(path).where(opened).limit(1).count() > 0
+
+
+def _csv(spark: SparkSession, path: str, sep: str, schema: T.StructType | None, multi_line: bool) -> DataFrame:
+    # Fields with line breaks need each file in one task; without the option they are an error, not wrong rows.
+    if not multi_line and _open_quotes(spark, path, sep):
+        raise ValueError(f"{path} has quoted fields with line breaks: read it with multi_line=True")
+    df = _delimited(spark, path, sep, schema, "UTF-8", multi_line)
     texts = string_columns(df)
     broken = F.concat_ws("", *[q(c) for c in texts]).contains(BROKEN) if texts else F.lit(False)
     bad_names = any(BROKEN in c for c in df.columns)
     if bad_names or (texts and df.where(broken).limit(1).count()):
-        return _delimited(spark, path, sep, schema, "ISO-8859-1")
+        return _delimited(spark, path, sep, schema, "ISO-8859-1", multi_line)
     return df
 
 
@@ -47,14 +59,15 @@ def _json(spark: SparkSession, path: str, schema: T.StructType | None) -> DataFr
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def load_table(spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | None = None, max_rows: int | None = None, order_by: list[str] | None = None) -> tuple[DataFrame, bool]:
+def load_table(spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | None = None, max_rows: int | None = None, order_by: list[str] | None = None, multi_line: bool = False) -> tuple[DataFrame, bool]:
     """The table at ``path`` (a file, folder or glob) and whether ``max_rows`` cut it short. There is
-    no limit by default; with one, ``order_by`` decides which rows come first."""
+    no limit by default; with one, ``order_by`` decides which rows come first. ``multi_line``: fields of
+    CSV and TSV files may hold line breaks; each file is then read by one task."""
     fmt = fmt or format_of(path)
     if fmt == "csv":
-        df = _csv(spark, path, ",", schema)
+        df = _csv(spark, path, ",", schema, multi_line)
     elif fmt == "tsv":
-        df = _csv(spark, path, "\t", schema)
+        df = _csv(spark, path, "\t", schema, multi_line)
     elif fmt == "json":
         df = _json(spark, path, schema)
     elif fmt == "parquet":
