@@ -257,8 +257,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents that are the first of their group (by doc_id, then by stored row), with all columns of
     ``docs``: exactly one row of each component, and every row without words."""
-    rows = store(packed(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "rows")
-    found = _assigned(rows.select("row", F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")))
+    rows = store(packed(docs).withColumn("row", F.monotonically_increasing_id()), "rows")
+    own = lambda c, kind: F.col(f"__doc.c{docs.columns.index(c)}").cast(kind).alias(c)
+    found = _assigned(rows.select("row", own("doc_id", "long"), own("text", "string")))
     gone = store(found.where("row <> first").select(F.col("row").alias("__row")), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     return unpacked(rows.join(gone, F.col("row") == F.col("__row"), "left_anti"), docs.columns)
