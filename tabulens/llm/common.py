@@ -56,21 +56,31 @@ def keyed(*columns: Column) -> Column:
     return F.struct(*[x for c in columns for x in (c.isNull(), F.coalesce(c.cast("string"), F.lit("")))])
 
 
-def hot_keys(sizes: DataFrame, size: str) -> Column:
-    """Whether a row of ``sizes``, a stored table with one row per key, is a key of over 1/HOT of all rows."""
+def hot_parts(sizes: DataFrame, size: str) -> Column:
+    """In how many parts a row of ``sizes``, a stored table with one row per key, has its key's rows split, so
+    that none is over 1/HOT of all rows; 1 for keys that are not hot."""
     total = sizes.agg(F.sum(size).alias("n")).first().n or 0
-    return F.col(size) * F.lit(HOT) > F.lit(total)
+    return F.greatest(F.ceil(F.col(size) * F.lit(HOT) / F.lit(max(total, 1))), F.lit(1)).cast("int")
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
+#: What a broadcast may hold: rows, and bytes as the caller reckons them.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, how: str = "inner", weight: Column | None = None) -> DataFrame:
     """Give each row the columns of its group, where one group may hold most rows.
 
     ``groups`` has one row per ``key`` with its number of rows in ``size``. Groups over 1/HOT of
-    all rows number fewer than HOT, so they are broadcast; the rest meet in a shuffled join.
+    all rows number fewer than HOT, so they are broadcast; the rest meet in a shuffled join. Where groups
+    have values of any length, ``weight`` reckons the bytes of one: if the hot ones are over BROADCAST_BYTES
+    together, only their keys are broadcast and their rows are dealt out to copies of the group's row.
     Both arguments should be stored tables: each is read twice. Keys must not be null. With ``how``
     'left' rows without a group stay, with nulls.
     """
-    hot = hot_keys(groups, size)
+    parts = hot_parts(groups, size)
+    hot = parts > 1
+    if weight is not None and (groups.where(hot).agg(F.sum(weight)).first()[0] or 0) > BROADCAST_BYTES:
+        return _salted(rows, groups, key, parts, how)
     values = [c for c in groups.columns if c != key]
     large = groups.where(hot).select(F.col(key).alias("__key"), *values, F.lit(True).alias("__hot"))
     tagged = rows.join(F.broadcast(large), rows[key] == F.col("__key"), "left").drop("__key")
@@ -80,8 +90,15 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, how: st
     return done.unionByName(rest.join(small, rest[key] == F.col("__key"), how).drop("__key"))
 
 
-#: What a broadcast may hold: rows, and bytes as the caller reckons them.
-BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
+def _salted(rows: DataFrame, groups: DataFrame, key: str, parts: Column, how: str) -> DataFrame:
+    """One shuffled join by key and salt. Fewer than HOT groups have over one part, and at most 2 HOT copies
+    come of them. Rows are stored with the number that salts them, so a task run again deals them out alike."""
+    split = groups.where(parts > 1).select(F.col(key).alias("__key"), parts.alias("__parts"))
+    numbered = store(rows.withColumn("__place", F.monotonically_increasing_id()), "numbered")
+    tagged = numbered.join(F.broadcast(split), numbered[key] == F.col("__key"), "left").drop("__key")
+    tagged = tagged.withColumn("__salt", F.coalesce(F.pmod(F.xxhash64("__place"), "__parts"), F.lit(0)).cast("int")).drop("__place", "__parts")
+    copies = groups.withColumn("__copy", F.explode(F.sequence(F.lit(0), parts - 1))).withColumnRenamed(key, "__key")
+    return tagged.join(copies, (tagged[key] == F.col("__key")) & (F.col("__salt") == F.col("__copy")), how).drop("__key", "__salt", "__copy")
 
 
 def bounded_join(rows: DataFrame, groups: DataFrame, key: str, size: str, how: str = "left", most: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
@@ -90,7 +107,7 @@ def bounded_join(rows: DataFrame, groups: DataFrame, key: str, size: str, how: s
     number and weight are those of the stored table, so this is no guess."""
     n, held = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.lit(256) if weight is None else weight), F.lit(0))).first()
     if n > most or held > BROADCAST_BYTES:
-        return join_groups(rows, groups, key, size, how)
+        return join_groups(rows, groups, key, size, how, weight)
     few = groups.withColumnRenamed(key, "__key")
     return rows.join(F.broadcast(few), rows[key] == F.col("__key"), how).drop("__key")
 

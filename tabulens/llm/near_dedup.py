@@ -177,7 +177,8 @@ def _leader_links(classes: DataFrame, groups: DataFrame, texts: DataFrame) -> Da
     pairs = store(pairs.where(estimate * SKETCH >= F.size("union") * SHARED).select("leader", "cls"), "pairs")
     of_leaders = store(sizes.join(texts.select(F.col("cls").alias("leader"), F.col("text").alias("text_leader")), "leader"), "leader-texts")
     of_members = pairs.join(texts.select("cls", F.col("text").alias("text_cls")), "cls")
-    both = join_groups(of_members, of_leaders, "leader", "size").select("leader", "cls", "text_leader", "text_cls")
+    # Texts of any length: hot leaders' are broadcast only while they are short together.
+    both = join_groups(of_members, of_leaders, "leader", "size", weight=F.octet_length("text_leader")).select("leader", "cls", "text_leader", "text_cls")
     return store(both.mapInArrow(_linked, "a long, b long"), "leader_links")
 
 

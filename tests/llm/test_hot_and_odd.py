@@ -34,6 +34,19 @@ def test_bounded_join_beyond_the_broadcast(spark, no_broadcast):
     assert got.where("plain = '5'").where("n is not null").count() == 0 and got.where("plain is null").select("n").distinct().count() == 1
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_heavy_hot_groups_are_salted(spark, monkeypatch, how):
+    """A group with a third of all rows and values too long to broadcast: rows are dealt out, none lost or doubled."""
+    key = F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 2000)
+    rows = common.store(spark.range(9000).select(key.alias("k"), "id").union(spark.range(50).select(F.lit(-1), F.lit(7))), "rows")
+    groups = common.store(rows.where("k <> 4").groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("long", F.repeat("k", 20)), "groups")
+    want = plain(common.join_groups(rows, groups, "k", "n", how, weight=F.length("long")))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 100)
+    got = common.join_groups(rows, groups, "k", "n", how, weight=F.length("long"))
+    assert plain(got) == want and len(want) == rows.count() - (rows.where("k = 4").count() if how == "inner" else 0)
+    assert groups.where(common.hot_parts(groups, "n") > 1).count() < common.HOT
+
+
 def test_operators_beyond_the_broadcast(spark, no_broadcast, monkeypatch):
     rng = random.Random(2)
     rows = [(i, f"w{i} some words of {i} and {rng.random()}\nfooter of all\nend {i % 7}", "en", "hot" if i % 3 else f"s{i % 40}", 0) for i in range(600)]
@@ -83,6 +96,13 @@ def test_passages_just_below_the_threshold(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_leaders_with_texts_beyond_the_broadcast(spark, no_broadcast):
+    base = [f"b{i}" for i in range(80)]
+    rows = [(i, " ".join(base[: 70 + i % 11])) for i in range(60)] + [(100 + i, " ".join(f"o{i}_{k}" for k in range(20))) for i in range(20)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
 def test_keep_one_with_repeated_ids(spark):
     rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "q w e r t y"), (None, "q w e r t y"), (3, None), (3, None)]
     got = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
