@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabulens.operators import distribution, predict, quantiles
+from tabulens.operators import distribution, predict, profile, quantiles
 from tabulens.plans.report import full_report
 from tabulens.sources.tables import load_table
 
@@ -44,6 +44,23 @@ def test_prediction_on_awkward_tables(spark):
             assert "no row" in str(error)
 
 
+def test_texts_of_many_values_are_features(spark):
+    """Two texts of many values, one with nulls, decide a class and a number each by their alphabetical order."""
+    code, other = F.format_string("c%05d-%s", F.col("id") * 7919 % 3000, F.repeat(F.lit("x"), 200)), F.format_string("o%05d", F.col("id") * 104729 % 3000)
+    df = spark.range(3000).select(code.alias("a.b"), F.when(F.col("id") % 20 > 0, other).alias("other"))
+    late = F.col("`a.b`") > "c01500"
+    got = predict.predict(df.withColumn("kind", F.when(late, "late").otherwise("early")), "kind", trees=10, depth=4)
+    assert got.metrics.first().value > 0.95
+    assert [r.feature for r in got.importances.orderBy("rank").collect()] == ["a.b", "other"]
+    number = df.withColumn("y", F.coalesce(F.substring("other", 2, 5).cast("double"), F.lit(-500.0)))
+    figures = {r.metric: r.value for r in predict.predict(number, "y", trees=10, depth=6).metrics.collect()}
+    assert figures["r2"] > 0.9
+    sizes = {r.column: r.n_unique for r in profile.distinct_counts(df).collect()}
+    cuts = predict._cuts(df, sizes)
+    assert cuts == predict._cuts(df.repartition(7), sizes)
+    assert all(len(c) == predict.MAX_BINS - 1 and c == sorted(c) and max(map(len, c)) <= predict.CUT_LENGTH for c in cuts)
+
+
 def test_fields_with_line_breaks(spark, tmp_path):
     path = tmp_path / "a.csv"
     path.write_text('a,b\n1,"two\nlines, ""quoted"""\n2,plain\n3,"x ""y"" z"\n')
