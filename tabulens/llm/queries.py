@@ -14,6 +14,7 @@ from tabulens.llm.toxicity import score_toxicity
 from tabulens.llm.line_dedup import OP6_SQL, lines_report
 from tabulens.llm.license_scan import OP8_SQL, scan_documents
 from tabulens.llm.token_counts import count_tokens
+from tabulens.llm.variants import spelling_variants
 
 QUERIES: dict = {
     "op8_license_scan": lambda spark, sf: scan_documents(table(spark, sf, "documents")),
@@ -26,6 +27,7 @@ QUERIES: dict = {
     "op4_quality": lambda spark, sf: judge(table(spark, sf, "documents")),
     "op1_mixing": lambda spark, sf: mixture(table(spark, sf, "documents")),
     "op7_exact_dedup": lambda spark, sf: exact_duplicates(table(spark, sf, "documents")),
+    "op11_spelling_variants": lambda spark, sf: spelling_variants(table(spark, sf, "documents")),
     "op13_token_counts": lambda spark, sf: count_tokens(table(spark, sf, "documents")),
 }
 
