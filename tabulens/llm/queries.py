@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tabulens.llm.common import table
+from tabulens.llm.conversations import repair_conversations
 from tabulens.llm.exact_dedup import OP7_SQL, exact_duplicates
 from tabulens.llm.mixing import OP1_SQL, mixture
 from tabulens.llm.quality import OP4_SQL, judge
@@ -28,6 +29,7 @@ QUERIES: dict = {
     "op1_mixing": lambda spark, sf: mixture(table(spark, sf, "documents")),
     "op7_exact_dedup": lambda spark, sf: exact_duplicates(table(spark, sf, "documents")),
     "op11_spelling_variants": lambda spark, sf: spelling_variants(table(spark, sf, "documents")),
+    "op12_conversation_repair": lambda spark, sf: repair_conversations(table(spark, sf, "conversations")),
     "op13_token_counts": lambda spark, sf: count_tokens(table(spark, sf, "documents")),
 }
 
