@@ -5,6 +5,8 @@ Doubles are rounded on both sides, as sums come in different orders.
 
 from __future__ import annotations
 
+from itertools import combinations_with_replacement
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -199,6 +201,15 @@ _query(
     lambda s, d: correlation.correlation(_gappy(s, d), MEASURES, 4),
     f"WITH {GAPPY} " + " UNION ALL ".join(f"SELECT '{a}' AS col_x, '{b}' AS col_y, round(corr({a}, {b}), 4) AS corr FROM gappy" for a in MEASURES for b in MEASURES),
 )
+#: Eight columns of each measure, with gaps in different rows.
+_WIDE = {f"{m}_{k}": f"CASE WHEN l_linenumber <> {k + 1} THEN {m} * {k + 1} + l_partkey % {k + 2} END" for m in MEASURES for k in range(8)}
+_query(
+    "correlation_wide",
+    lambda s, d: correlation.correlation(_table(s, d, "lineitem").select(*[F.expr(x).alias(c) for c, x in _WIDE.items()]), digits=4),
+    "WITH wide AS MATERIALIZED (SELECT " + ", ".join(f"{x} AS {c}" for c, x in _WIDE.items()) + " FROM lineitem), "
+    "half AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 4) AS corr FROM wide" for a, b in combinations_with_replacement(_WIDE, 2)) + ") "
+    "SELECT a AS col_x, b AS col_y, corr FROM half UNION ALL SELECT b, a, corr FROM half WHERE a <> b",
+)
 _query(
     "top_variance",
     lambda s, d: _rounded(correlation.top_variance(_table(s, d, "lineitem")), 2),
