@@ -177,6 +177,12 @@ _query(
     lambda s, d: categorical.top_values(_table(s, d, "part")).drop("position"),
     "WITH " + _COUNTS.format(long=_long(["p_name", "p_brand", "p_type"], "part", "VARCHAR")) + ', r AS (SELECT *, CAST(row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS INTEGER) AS rank FROM counts) SELECT "column", rank, value, n FROM r WHERE rank <= 5',
 )
+_TEXTS = ["text", "lang", "source"]
+_query(
+    "top_texts",
+    lambda s, d: categorical.top_values(_table(s, d, "documents")).drop("position"),
+    "WITH " + _COUNTS.format(long=_long(_TEXTS, "documents", "VARCHAR")) + ', r AS (SELECT *, CAST(row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS INTEGER) AS rank FROM counts) SELECT "column", rank, value, n FROM r WHERE rank <= 5',
+)
 _query("value_counts", lambda s, d: categorical.value_counts(_gappy(s, d)).drop("position"), f"WITH {GAPPY}, " + _COUNTS.format(long=_long(_FLAGS, "gappy", "VARCHAR")) + ' SELECT "column", value, n FROM counts')
 _query(
     "frequency_tables",
