@@ -16,8 +16,11 @@ representative of each class goes on:
    of its shingles or one of them, and with a larger one the rarest n - ceil(3n/4) + 1 (for
    similarity 3/4), so a passage that many otherwise different documents share lists none of them.
    These lists are led and verified in the same way, at a cost linear in their members.
-4. What even then hangs together with its leader by no chain of links is compared with its list in
-   blocks, on full sets: members whose similarity to each other lies just below the threshold.
+4. What even then hangs together with its leader by no chain of links may still be like another member. Two sets that first
+   meet at a value with r values from there on in either can only be similar if 7 min(r) >= 3 (n + n'). So each
+   member has a reach, 7r - 3n, of which a third bounds its partner's size. Members whose reach meets no size in their group, or whose
+   size no reach, go; the few left are compared in blocks, those pairs that fit, on full sets. Pages that share one passage, of equal
+   or of any lengths, so cost nothing here: their first meeting shows how much they can have in common.
 
 So no list or group is ever expanded into all its pairs, and no pair of different texts with the
 required similarity that meets in a list is left out.
@@ -93,26 +96,31 @@ def _linked(batches):
 
 
 def _block_links(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Links between unlinked members and members of one block pair, as few as connect them."""
+    """Links between unlinked members and members of one block pair whose sizes and reaches fit, as few as connect them."""
     a, b, joined = left["cls"].to_pylist(), right["cls"].to_pylist(), right["joined"].to_pylist()
     links = []
     if a and b:
-        sets = list(words.shingle_sets(right["text"].to_pylist()))
-        sizes = np.array([len(s) for s in sets])
-        values, codes = np.unique(np.concatenate(sets), return_inverse=True)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        mark = np.zeros(len(values), dtype=np.int32)
-        for cls, own in zip(a, words.shingle_sets(left["text"].to_pylist()), strict=True):
-            at = np.searchsorted(values, own)
-            at = at[(at < len(values)) & (values[np.minimum(at, len(values) - 1)] == own)]
-            mark[at] = 1
-            both = np.add.reduceat(mark[codes], starts)
-            mark[at] = 0
-            with_leader = False
-            for k in np.flatnonzero(100 * both >= PERCENT * (sizes + len(own) - both)):
-                if b[k] != cls and not (joined[k] and with_leader):
-                    with_leader |= joined[k]
-                    links.append((cls, b[k]))
+        n_a, n_b, reach_a, reach_b = (t[c].to_numpy() for c in ("n", "reach") for t in (left, right))
+        fits = (3 * n_b[None] <= reach_a[:, None]) & (3 * n_a[:, None] <= reach_b[None])
+        used = np.flatnonzero(fits.any(axis=0))
+        if len(used):
+            sets = list(words.shingle_sets([right["text"][i].as_py() for i in used.tolist()]))
+            sizes = np.array([len(s) for s in sets])
+            values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            mark = np.zeros(len(values), dtype=np.int32)
+            some = np.flatnonzero(fits.any(axis=1)).tolist()
+            for i, own in zip(some, words.shingle_sets([left["text"][i].as_py() for i in some]), strict=True):
+                at = np.searchsorted(values, own)
+                at = at[(at < len(values)) & (values[np.minimum(at, len(values) - 1)] == own)]
+                mark[at] = 1
+                both = np.add.reduceat(mark[codes], starts)
+                mark[at] = 0
+                with_leader = False
+                for k in used[fits[i, used] & (100 * both >= PERCENT * (sizes + len(own) - both))].tolist():
+                    if b[k] != a[i] and not (joined[k] and with_leader):
+                        with_leader |= joined[k]
+                        links.append((a[i], b[k]))
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
@@ -136,11 +144,14 @@ def _met(values: DataFrame, held_in: Column, name: str) -> DataFrame:
 
 
 def _led(met: DataFrame, may_lead: Column, name: str) -> DataFrame:
-    """leader, cls: the members of each group of lists with one leader, the leader left out."""
+    """leader, cls, reach: the members of each group of lists with one leader, the leader left out. The reach is the largest over
+    these lists; it bounds the sizes of those that first meet the member here."""
     lead = F.max(F.when(may_lead, F.struct("typical", "cls")))
     led = met.groupBy("v").agg(lead.alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1 and lead is not null")
     led = store(led.select("v", F.col("lead.cls").alias("leader"), "size"), f"{name}-led")
-    return store(join_groups(met.select("v", "cls"), led, "v", "size").where("cls <> leader").select("leader", "cls").distinct(), f"{name}-groups")
+    reach = 7 * (F.col("n") - F.col("place") + 1) - 3 * F.col("n")
+    members = join_groups(met.select("v", "cls", reach.alias("reach")), led, "v", "size").where("cls <> leader")
+    return store(members.groupBy("leader", "cls").agg(F.max("reach").alias("reach")), f"{name}-groups")
 
 
 def _groups(classes: DataFrame) -> DataFrame:
@@ -182,25 +193,36 @@ def _leader_links(classes: DataFrame, groups: DataFrame, texts: DataFrame) -> Da
     return store(both.mapInArrow(_linked, "a long, b long"), "leader_links")
 
 
-def _rest(groups: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """leader, cls, joined (whether links hang it together with its leader) for groups where not all are
-    joined, and the groups' leader, size, left (members that are not)."""
+def _rest(classes: DataFrame, groups: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """leader, cls, n, reach, joined (whether links hang it together with its leader) for members that may be like another that does
+    not hang together with them, and the groups' leader, size, left (members that are not joined)."""
     root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    found = groups.join(root("cls"), "cls", "left").join(root("leader"), "leader", "left")
-    members = store(found.select("leader", "cls", F.coalesce(F.col("cls_root") == F.col("leader_root"), F.lit(False)).alias("joined")), "members")
-    sizes = members.groupBy("leader").agg(F.count(F.lit(1)).alias("size"), F.count_if(~F.col("joined")).alias("left"))
-    return members, store(sizes.where("left > 0"), "sizes")
+    found = groups.join(root("cls"), "cls", "left").join(root("leader"), "leader", "left").join(classes.select("cls", "n"), "cls")
+    members = store(found.select("leader", "cls", "n", "reach", F.coalesce(F.col("cls_root") == F.col("leader_root"), F.lit(False)).alias("joined")), "members")
+    side = lambda f, c, joined, name: f(F.when(F.col("joined") == joined, F.col(c))).alias(name)
+    bounds = members.groupBy("leader").agg(
+        F.count(F.lit(1)).alias("size"), F.count_if(~F.col("joined")).alias("left"),
+        side(F.min, "n", True, "n_joined"), side(F.max, "reach", True, "reach_joined"), side(F.min, "n", False, "n_left"), side(F.max, "reach", False, "reach_left"),
+    )
+    bounds = store(bounds.where("left > 0"), "bounds")
+    meets = lambda side: F.coalesce((3 * F.col(f"n_{side}") <= F.col("reach")) & (3 * F.col("n") <= F.col(f"reach_{side}")), F.lit(False))
+    # The leader has met them all; a joined member need only meet those that are not.
+    may = join_groups(members, bounds, "leader", "size").where(meets("left") | (~F.col("joined") & meets("joined")))
+    may = store(may.select("leader", "cls", "n", "reach", "joined"), "may")
+    sizes = may.groupBy("leader").agg(F.count(F.lit(1)).alias("size"), F.count_if(~F.col("joined")).alias("left"))
+    return may, store(sizes.where("left > 0 and size > 1"), "sizes")
 
 
 def _rest_links(members: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links of members that are not joined with others of the group."""
-    sized = join_groups(members, sizes.where("size > 1"), "leader", "size").join(texts, "cls")
+    sized = join_groups(members, sizes, "leader", "size").join(texts, "cls")
     parts = lambda n, rows: F.ceil(F.col(n) / F.lit(rows)).cast("int")
     n_left, n_all = parts("left", BLOCK_LEFT), parts("size", BLOCK_ALL)
     own = lambda n: F.pmod(F.xxhash64("cls"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = sized.where("not joined").select(F.col("leader").alias("g"), own(n_left).alias("i"), each(n_all).alias("j"), F.col("cls").alias("cls"), F.col("text").alias("text"))
-    right = sized.select(F.col("leader").alias("rg"), each(n_left).alias("ri"), own(n_all).alias("rj"), "cls", "text", "joined")
+    what = ("cls", "n", "reach", "text")
+    left = sized.where("not joined").select(F.col("leader").alias("g"), own(n_left).alias("i"), each(n_all).alias("j"), *[F.col(c).alias(c) for c in what])
+    right = sized.select(F.col("leader").alias("rg"), each(n_left).alias("ri"), own(n_all).alias("rj"), *what, "joined")
     blocks = left.groupBy("g", "i", "j").cogroup(right.groupBy("rg", "ri", "rj"))
     return store(blocks.applyInArrow(_block_links, "a long, b long"), "rest_links")
 
@@ -221,7 +243,7 @@ def _links(rows: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame, d
     groups = _full_groups(again)
     links = store(links.union(_leader_links(classes, groups, again)), "links")
     roots = components(links)
-    members, sizes = _rest(groups, roots)
+    members, sizes = _rest(classes, groups, roots)
     n = sizes.agg(F.coalesce(F.sum(F.col("left") * F.col("size")), F.lit(0)).alias("n")).first().n
     made |= {"led again": groups.count(), "blocks": n}
     if n:

@@ -103,3 +103,30 @@ def test_components(spark, links):
         up[top(a)] = top(b)
     assert set(got) == set(up)
     assert all((got[x] == got[y]) == (top(x) == top(y)) for x in list(up)[:60] for y in up)
+
+
+def _made(spark, rows):
+    """How many comparisons each step makes."""
+    from tabulens.llm.common import store
+
+    docs = store(spark.createDataFrame(rows, SCHEMA).withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text"), "rows")
+    sketches = store(docs.mapInArrow(near_dedup._sketches, "row long, doc_id long, n long, set_hash binary, sketch array<long>"), "sketches")
+    return near_dedup._links(docs, near_dedup._classes(sketches))[2]
+
+
+def _template(n, lengths, seed=3):
+    rng = random.Random(seed)
+    passage = " ".join(f"common{i}" for i in range(104))
+    return [(i, passage + " " + " ".join(f"own{i}_{k}" for k in range(rng.choice(lengths) if i else min(lengths)))) for i in range(n)]
+
+
+@pytest.mark.parametrize("stubs", ["one", "some", "mixed"])
+def test_pages_of_one_template_cost_the_same_each(spark, stubs):
+    """Pages that share a passage, with a short one, several short ones or all lengths among them: no square of comparisons."""
+    small, large = 150, 600
+    of = {"one": lambda n: [(i, t) for i, t in _template(n, [30]) if i] + _template(1, [10]), "some": lambda n: _template(n, [10, 30, 30, 30]), "mixed": lambda n: _template(n, range(5, 61))}[stubs]
+    rows = of(small)
+    check(spark.createDataFrame(rows, SCHEMA), rows)
+    few, many = _made(spark, of(small)), _made(spark, of(large))
+    assert few["blocks"] <= small and many["blocks"] <= large
+    assert sum(many.values()) / large < 1.5 * sum(few.values()) / small + 1
