@@ -13,6 +13,10 @@ from pyspark.sql import types as T
 
 from tabulens.functions.columns import q
 from tabulens.operators import categorical, correlation, distribution, kpi, narrative, predict, profile, tables, timeseries
+from tabulens.operators.saved_profile import SavedProfile
+from tabulens.sources.pages import PageIndex
+from tabulens.sources.scratch import scratch_path
+from tabulens.sources.search_index import SearchIndex
 from tabulens.sources.tables import cap_rows
 
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -209,6 +213,11 @@ _query(
 )
 #: Eight columns of each measure, with gaps in different rows.
 _WIDE = {f"{m}_{k}": f"CASE WHEN l_linenumber <> {k + 1} THEN {m} * {k + 1} + l_partkey % {k + 2} END" for m in MEASURES for k in range(8)}
+_query(
+    "saved_profile",
+    lambda s, d: _rounded(SavedProfile.of(s, f"{d}/lineitem.parquet", scratch_path(s, "profile")).result().where("mean is not null").select("column", "rows", "n", "missing", "mean", "std", "min", "max"), drop=()),
+    _each(LINEITEM_NUMBERS, "count(*) AS rows, count({c}) AS n, count(*) - count({c}) AS missing, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(CAST(min({c}) AS DOUBLE), 4) AS min, round(CAST(max({c}) AS DOUBLE), 4) AS max", "lineitem"),
+)
 _query(
     "correlation_wide",
     lambda s, d: correlation.correlation(_table(s, d, "lineitem").select(*[F.expr(x).alias(c) for c, x in _WIDE.items()]), digits=4),
@@ -317,6 +326,17 @@ _query(
     "SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name || ' ' || c_mktsegment), 'building') AND contains(lower(c_name || ' ' || c_mktsegment), '12')",
 )
 _query("page", lambda s, d: tables.page(_table(s, d, "customer"), [F.desc("c_acctbal"), "c_custkey"], number=2), "SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10 OFFSET 20")
+_query(
+    "page_deep",
+    lambda s, d: PageIndex.build(_table(s, d, "orders"), [F.desc("o_totalprice"), "o_orderkey"], scratch_path(s, "pages")).page(10, 140),
+    "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 1400",
+)
+_FOUND = "contains(lower(lang || ' ' || source || ' ' || text), '{}')"
+_query(
+    "search_filtered",
+    lambda s, d: SearchIndex.build(s, f"{d}/documents.parquet", scratch_path(s, "filters"), ["lang", "source", "text"]).search("Tionment queaux").select("doc_id", "lang"),
+    f"SELECT doc_id, lang FROM documents WHERE {_FOUND.format('tionment')} AND {_FOUND.format('queaux')}",
+)
 _query("head", lambda s, d: tables.head(_table(s, d, "customer"), order_by=["c_custkey"]), "SELECT * FROM customer ORDER BY c_custkey LIMIT 5")
 _query("preview", lambda s, d: tables.preview(_table(s, d, "orders"), columns=3, order_by=["o_orderkey"]), "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 4")
 _query("row_cap", lambda s, d: cap_rows(_table(s, d, "orders"), 1000, ["o_orderkey"])[0], "SELECT * FROM orders ORDER BY o_orderkey LIMIT 1000")

@@ -12,7 +12,7 @@ from tabulens.operators import categorical, correlation, distribution, kpi, narr
 def full_report(df: DataFrame, approx: bool = False, order_by: str | None = None, predicted: str | bool = False) -> dict[str, DataFrame]:
     """Every section that applies, by name.
 
-    Times are found and quantiles computed once, when the report is made; all sections that need quantiles
+    Times are found, values counted and quantiles computed when the report is made; all sections that need quantiles
     share them. The other sections are computed when they are used. ``order_by``: a numeric or time column
     along which sparklines run (default: the first time column). ``predicted``: the target of a baseline
     prediction, True for an automatic one; a table that allows none has the reason in its place.
