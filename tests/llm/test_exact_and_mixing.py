@@ -59,11 +59,43 @@ def test_index_persists_across_batches(spark):
     path = scratch_path(spark, "test-index")
     first = docs_of(spark, [(5, "x y", "en", "s", 3), (6, "z", "en", "s", 1)])
     again = docs_of(spark, [(1, "x  y", "en", "s", 3), (9, "new", "en", "s", 3), (10, "new", "en", "s", 3)])
-    assert all(r.kept for r in exact_dedup.exact_duplicates(first, exact_dedup.DigestIndex(spark, path, 4)).collect())
+    with exact_dedup.DigestIndex(spark, path, 4) as index:
+        assert all(r.kept for r in exact_dedup.exact_duplicates(first, index).collect())
     # Another table over the same files: what a later session would open.
-    got = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.exact_duplicates(again, exact_dedup.DigestIndex(spark, path, 4)).collect()}
-    assert got == {1: (5, False), 9: (9, True), 10: (9, False)}
-    assert exact_dedup.DigestIndex(spark, path, 4).rows().count() == 3
+    with exact_dedup.DigestIndex(spark, path, 4) as index:
+        got = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.exact_duplicates(again, index).collect()}
+        assert got == {1: (5, False), 9: (9, True), 10: (9, False)}
+        assert index.rows().count() == 3
+
+
+def _index_tables(spark):
+    return {t.name for t in spark.catalog.listTables() if t.name.startswith("digest_index")}
+
+
+def test_a_forgotten_index_leaves_the_catalog(spark):
+    before = _index_tables(spark)
+    index = exact_dedup.DigestIndex(spark, scratch_path(spark, "forgotten"), 2)
+    assert len(_index_tables(spark) - before) == 1
+    del index
+    assert _index_tables(spark) == before
+
+
+def test_the_result_comes_through_the_index(spark):
+    """Batches by ranges of ids, each joined with the index, whose side of the joins is not exchanged."""
+    path = scratch_path(spark, "through-index")
+    docs = docs_of(spark, [(i, f"text {i % 7}", "en", "s", 1) for i in range(20)] + [(None, "text 3", "en", "s", 1), (None, "only null", "en", "s", 1)])
+    asked = []
+    with exact_dedup.DigestIndex(spark, path, 4) as index:
+        own, index.append = index.append, lambda groups, batch: asked.append(groups.count()) or own(groups, batch)
+        got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(docs, index, "one").collect()}
+        size = Counter(i % 7 for i in range(20)) + Counter([3])
+        assert got == {(i, i % 7, size[i % 7], i < 7) for i in range(20)} | {(None, 3, size[3], False), (None, None, 1, True)}
+        assert len(asked) == exact_dedup.BATCHES and min(asked) > 1
+        assert index.rows().count() == 8 and {r.batch for r in index.rows().collect()} == {"one"}
+        groups = store(index.rows().select("digest", "n"), "groups")
+        for joined in (index.missing(groups), index.found(groups)):
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") <= 1 and "Bucketed: true" in plan
 
 
 def test_join_groups_with_a_hot_key(spark):
