@@ -223,7 +223,9 @@ def test_licence_scan(spark):
 
 
 def test_each_template_finds_its_licence(spark):
-    own = [(f"{k} {i}", f"d{k}{i}/f", f"some prose\n{t}\nmore prose", k) for k, ts in license_scan.TEMPLATES.items() for i, t in enumerate(ts)]
+    # Clauses make a licence together.
+    whole = {k: "\n".join(license_scan.TEMPLATES[k][i] for i in places) for k, places in license_scan.CLAUSES.items()}
+    own = [(f"{k} {i}", f"d{k}{i}/f", f"some prose\n{whole[k] if i in license_scan.CLAUSES.get(k, ()) else t}\nmore prose", k) for k, ts in license_scan.TEMPLATES.items() for i, t in enumerate(ts)]
     rest = [(f"p{i}", f"p{i}/f", f"the work of a {i} to be under this and is or not in all of it", None) for i in range(200)]
     df = spark.createDataFrame(own + rest, "name string, path string, body string, wanted string")
     got = {r.doc_id: r.licence for r in license_scan.scan(df, "name", F.col("path"), "body").collect()}

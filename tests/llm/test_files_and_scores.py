@@ -152,6 +152,54 @@ def test_whole_licence_files_govern(spark):
     assert got["other/y.c"] == (None, None) and got["prose/1"] == (None, None)
 
 
+BSD_2 = BSD[: BSD.index("3. Neither")] + BSD[BSD.index("THIS SOFTWARE") :]
+LGPL_21 = """                  GNU LESSER GENERAL PUBLIC LICENSE
+                       Version 2.1, February 1999
+
+ Copyright (C) 1991, 1999 Free Software Foundation, Inc.
+ Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.
+
+[This is the first released version of the Lesser GPL.  It also counts
+ as the successor of the GNU Library Public License, version 2, hence
+ the version number 2.1.]
+"""
+ZLIB = """Copyright (c) 2024 Somebody
+
+This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+"""
+
+
+def test_licences_that_look_alike(spark):
+    """Files as they are found: a rights line among clauses, clauses that two licences share, other versions and other parts."""
+    files = {
+        "bsd3": ("BSD-3-Clause", BSD.replace("All rights of the authors are stated below.", "All rights reserved.")), "bsd2": ("BSD-2-Clause", BSD_2.replace("All rights of the authors are stated below.", "All rights reserved.")),
+        "lgpl21": ("LGPL-2.1", LGPL_21), "by3": ("CC-BY-3.0", "Creative Commons Attribution 3.0 Unported\n\nThis work is licensed under a Creative Commons Attribution 3.0 Unported License."),
+        "bysa3": ("CC-BY-SA-3.0", "This work is licensed under a\nCreative Commons Attribution-ShareAlike 3.0 Unported License."), "bynd4": ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+        "zlib": ("Zlib", ZLIB), "epl2": ("EPL-2.0", "Eclipse Public License - v 2.0\n\nTHE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE"), "own": ("Proprietary", "Copyright 2024 Somebody.\nAll rights reserved."),
+        "gpllib": ("GPL-2.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+        "neither": (None, "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    }
+    rows = [(f"{k}/LICENSE", text) for k, (_, text) in files.items()] + [(f"{k}/src/x.c", "int main() { return 0; }") for k in files] + [(f"prose/{i}", f"a text of {i} with words in it") for i in range(200)]
+    got = {r.path: (r.licence, r.inherited_licence) for r in license_scan.scan(spark.createDataFrame(rows, "path string, body string"), "path", F.col("path"), "body").collect()}
+    assert {k: got[f"{k}/LICENSE"][0] for k in files} == {k: licence for k, (licence, _) in files.items()}
+    assert {k: got[f"{k}/src/x.c"] for k in files} == {k: (None, licence) for k, (licence, _) in files.items()}
+
+
+def test_several_files_govern_a_directory(spark):
+    """A rights line gives way to a licence; of licences the one with the higher cosine governs, then the first id; repeated rows change nothing."""
+    exact, part = license_scan.TEMPLATES["MIT"][1], "Licensed under the Apache License, Version 2.0, as said elsewhere."
+    rows = [("a/COPYRIGHT", "All rights reserved."), ("a/LICENSE", part), ("b/LICENSE", exact), ("b/COPYING", part), ("c/LICENSE.a", "Licensed under the ISC License."), ("c/LICENSE.b", "Released under the MIT License."), ("c/LICENSE.b", "Released under the MIT License.")]
+    rows += [(f"{d}/x", "int x;") for d in "abc"] + [(f"prose/{i}", f"a text of {i} with words in it") for i in range(200)]
+    got = {r.path: r.inherited_licence for r in license_scan.scan(spark.createDataFrame(rows, "path string, body string"), "path", F.col("path"), "body").collect()}
+    assert {d: got[f"{d}/x"] for d in "abc"} == {"a": "Apache-2.0", "b": "MIT", "c": "ISC"}
+
+
 def test_other_templates(spark):
     df = spark.createDataFrame([("d/LICENSE", "You may bake this bread freely and share it's loaf"), ("d/e", "x")], "path string, body string")
     got = {r.path: r for r in license_scan.scan(df, "path", F.col("path"), "body", {"Bread": ("You may bake this bread freely and share it's loaf",)}).collect()}
