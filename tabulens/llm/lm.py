@@ -10,7 +10,9 @@ How it runs: each task gathers its documents into blocks, stored as codes of tok
 its task met it and no key or repeated row decides where a document goes. Each block lists its distinct
 tokens, bigrams and trigrams as sorted hashes with its own counts, cut into key ranges. The owner of a range adds
 up all blocks' counts and answers each block in the order of its list, so keys travel once and no
-task ever holds the model. Held-out training blocks then count how often each combination of context
+task ever holds the model. A block sends to at most FAN ranges: of more blocks than that, groups first merge their
+lists range by range, send these on to finer ranges, and hand the answers down; so what is exchanged grows with the blocks and
+not with their square. Held-out training blocks then count how often each combination of context
 frequency and binned probabilities occurs. This table has at most a fixed number of cells whatever
 the input (probabilities are binned by eighths of an octave), and the weights are fitted on it.
 Last, each block scores its documents with the answers it got. All documents take part.
@@ -39,6 +41,8 @@ from tabulens.llm.common import store, text_or_empty
 FOLDS = 10
 #: Characters of text in a block, about; a longer text is a block by itself.
 BLOCK_CHARS, CHUNK = 4_000_000, 1_000_000
+#: Key ranges that a block or a group of blocks sends to, and blocks of a group, about.
+FAN = 512
 #: Pseudo-count of the base distribution.
 ADD = 0.1
 ROUNDS = 40
@@ -187,29 +191,105 @@ def _asker(owners: int, bits: int, order: int):
 ANSWER = "block long, owner long, fit binary, train binary, n_fit long, v_fit long, n_train long, v_train long"
 
 
-def _answer(asked: pa.Table) -> pa.Table:
-    keys = [_unpacked(x) for x in asked["keys"].to_pylist()]
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.table({f.name: pa.array(c, f.type) for f, c in zip(schema, zip(*rows, strict=True), strict=True)}, schema=schema) if rows else schema.empty_table()
+
+
+_ANSWER = pa.schema([("block", pa.int64()), ("owner", pa.int64()), ("fit", pa.binary()), ("train", pa.binary()), *[(c, pa.int64()) for c in ("n_fit", "v_fit", "n_train", "v_train")]])
+
+
+class _Lists:
+    """Several sorted key lists as one, and where each list's keys are in it."""
+
+    def __init__(self, packed: list[bytes]):
+        keys = [_unpacked(x) for x in packed]
+        self.sizes = [len(k) for k in keys]
+        self.distinct, self.code = np.unique(np.concatenate(keys), return_inverse=True)
+
+    def each(self):
+        at = 0
+        for n in self.sizes:
+            yield self.code[at : at + n]
+            at += n
+
+    def total(self, counts: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros(len(self.distinct), np.int64)
+        for mine, c in zip(self.each(), counts, strict=True):
+            out[mine] += c
+        return out
+
+
+def _sums(owner: int, fit: np.ndarray, train: np.ndarray) -> list[tuple]:
+    return [(-1, owner, b"", b"", int(fit.sum()), int((fit > 0).sum()), int(train.sum()), int((train > 0).sum()))] if owner % _LEVELS == UNI else []
+
+
+def _to_blocks(lists: _Lists, asked: pa.Table, owner: int, fit: np.ndarray, train: np.ndarray) -> list[tuple]:
+    """Rows of answers to the blocks that asked; only held-out ones are told what was fitted on."""
+    blocks, dev = asked["block"].to_pylist(), asked["dev"].to_pylist()
+    return [(b, owner, _planes(fit[mine]) if d else b"", _planes(train[mine]), 0, 0, 0, 0) for b, d, mine in zip(blocks, dev, lists.each(), strict=True)]
+
+
+def _asked_totals(lists: _Lists, asked: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     own = [_from_planes(x) for x in asked["counts"].to_pylist()]
-    dev, owner = asked["dev"].to_pylist(), asked["owner"][0].as_py()
-    distinct, code = np.unique(np.concatenate(keys), return_inverse=True)
-    fit, train = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
-    at = 0
-    for k, c, d in zip(keys, own, dev, strict=True):
-        mine = code[at : at + len(k)]
-        train[mine] += c
-        if not d:
-            fit[mine] += c
-        at += len(k)
-    rows, at = [], 0
-    for k, d, b in zip(keys, dev, asked["block"].to_pylist(), strict=True):
-        mine = code[at : at + len(k)]
-        rows.append((b, owner, _planes(fit[mine]) if d else b"", _planes(train[mine]), 0, 0, 0, 0))
-        at += len(k)
-    if owner % _LEVELS == UNI:
-        rows.append((-1, owner, b"", b"", int(fit.sum()), int((fit > 0).sum()), int(train.sum()), int((train > 0).sum())))
-    names = [f.split()[0] for f in ANSWER.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * 4]
-    return pa.table({n: pa.array(c, k) for n, k, c in zip(names, kinds, zip(*rows, strict=True), strict=True)})
+    learned = [np.zeros_like(c) if d else c for c, d in zip(own, asked["dev"].to_pylist(), strict=True)]
+    return lists.total(learned), lists.total(own)
+
+
+def _answer(asked: pa.Table) -> pa.Table:
+    lists, owner = _Lists(asked["keys"].to_pylist()), asked["owner"][0].as_py()
+    fit, train = _asked_totals(lists, asked)
+    return _table(_to_blocks(lists, asked, owner, fit, train) + _sums(owner, fit, train), _ANSWER)
+
+
+_PASSED = pa.schema([("owner", pa.int64()), ("sender", pa.int64()), ("keys", pa.binary()), ("fit", pa.binary()), ("train", pa.binary())])
+PASSED = "owner long, sender long, keys binary, fit binary, train binary"
+
+
+def _passer(owners: int, bits: int):
+    def run(asked: pa.Table) -> pa.Table:
+        """The merged list of a group of blocks in one range, cut into finer ranges."""
+        lists, kind = _Lists(asked["keys"].to_pylist()), asked["owner"][0].as_py() % _LEVELS
+        fit, train = _asked_totals(lists, asked)
+        owner = _owner(lists.distinct, owners, bits if kind else 64)
+        cuts = np.flatnonzero(np.diff(owner, prepend=np.uint64(owners)))
+        sender = asked["sender"][0].as_py()
+        rows = [(int(owner[a]) * _LEVELS + kind, sender, _packed(lists.distinct[a:b]), _planes(fit[a:b]), _planes(train[a:b])) for a, b in zip(cuts, [*cuts[1:], len(owner)], strict=True)]
+        return _table(rows, _PASSED)
+
+    return run
+
+
+def _answer_groups(passed: pa.Table) -> pa.Table:
+    """As ``_answer`` for groups of blocks, whose numbers stand in for blocks'."""
+    lists, owner = _Lists(passed["keys"].to_pylist()), passed["owner"][0].as_py()
+    fit, train = (lists.total([_from_planes(x) for x in passed[c].to_pylist()]) for c in ("fit", "train"))
+    rows = [(s, owner, _planes(fit[mine]), _planes(train[mine]), 0, 0, 0, 0) for s, mine in zip(passed["sender"].to_pylist(), lists.each(), strict=True)]
+    return _table(rows + _sums(owner, fit, train), _ANSWER)
+
+
+def _hand_down(asked: pa.Table, answers: pa.Table) -> pa.Table:
+    """What a group was told, for each of its blocks."""
+    if not asked.num_rows or not answers.num_rows:
+        return _ANSWER.empty_table()
+    lists, order = _Lists(asked["keys"].to_pylist()), np.argsort(answers["owner"].to_numpy())
+    fit, train = (np.concatenate([_from_planes(answers[c][int(i)].as_py()) for i in order]) for c in ("fit", "train"))
+    return _table(_to_blocks(lists, asked, asked["owner"][0].as_py(), fit, train), _ANSWER)
+
+
+def _answers(content: DataFrame, blocks: int, bits: int, order: int, fan: int) -> DataFrame:
+    """block, owner, fit, train of every block and range, and in rows of block -1 the sums; a stored table."""
+    owners = blocks + max(4, content.sparkSession.sparkContext.defaultParallelism)
+    ask = lambda n: content.mapInArrow(_asker(n, bits, order), "owner long, block long, dev boolean, keys binary, counts binary")
+    if owners <= fan:
+        return store(ask(owners).groupBy("owner").applyInArrow(_answer, ANSWER), "answers")
+    # Finer ranges are whole parts of the wider ones, so each group's lists stay in order.
+    fine = fan * -(-owners // fan)
+    group = F.pmod(F.xxhash64("block"), F.lit(-(-blocks // fan)))
+    asked = store(ask(fan).withColumn("sender", group * (fan * _LEVELS) + F.col("owner")), "asked")
+    passed = asked.groupBy("sender").applyInArrow(_passer(fine, bits), PASSED)
+    told = store(passed.groupBy("owner").applyInArrow(_answer_groups, ANSWER), "told")
+    down = asked.groupBy("sender").cogroup(told.where("block >= 0").select(F.col("block").alias("to"), "owner", "fit", "train").groupBy("to")).applyInArrow(_hand_down, ANSWER)
+    return store(down.union(told.where("block < 0")), "answers")
 
 
 def _given(answers: pa.Table, column: str, order: int) -> list[np.ndarray]:
@@ -333,19 +413,17 @@ def _scorer(n: int, v: int, bits: int, order: int, weights: np.ndarray, shares:
     return score
 
 
-def score_documents(docs: DataFrame, order: int = 2) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def score_documents(docs: DataFrame, order: int = 2, block_chars: int | None = None, fan: int | None = None) -> DataFrame:
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. ``block_chars`` and ``fan``
+    (default: BLOCK_CHARS, FAN) change the plan alone."""
     if order not in (2, 3):
         raise ValueError(f"order: {order}")
-    spark = docs.sparkSession
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold.cast("int").alias("fold"), text_or_empty().alias("text"))
-    content = store(texts.mapInArrow(_gatherer(BLOCK_CHARS), CONTENT), "blocks")
+    content = store(texts.mapInArrow(_gatherer(block_chars or BLOCK_CHARS), CONTENT), "blocks")
     blocks, tokens = content.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     bits = min(64, tokens.bit_length() + SPARE)
-    owners = blocks + max(4, spark.sparkContext.defaultParallelism)
-    asked = content.mapInArrow(_asker(owners, bits, order), "owner long, block long, dev boolean, keys binary, counts binary")
-    answers = store(asked.groupBy("owner").applyInArrow(_answer, ANSWER), "answers")
+    answers = _answers(content, blocks, bits, order, fan or FAN)
     sums = answers.where("block < 0").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_fit", "v_fit", "n_train", "v_train")]).first()
     by_block = answers.where("block >= 0").select(F.col("block").alias("of"), "owner", "fit", "train")
     # Only the held-out blocks have answers without them.

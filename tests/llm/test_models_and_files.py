@@ -2,6 +2,7 @@
 
 import io
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -198,3 +199,18 @@ def test_false_magic_is_passed_over():
 def _gzip(text):
     deflate = zlib.compressobj(6, zlib.DEFLATED, 31)
     return deflate.compress(text) + deflate.flush()
+
+
+def test_exchange_of_the_language_model_grows_with_its_blocks(spark, monkeypatch):
+    """Groups of blocks pass their lists on: the same scores, and rows in proportion to blocks."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{min(int(rng.expovariate(0.05)), 90)}" for _ in range(40))) for i in range(480)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = {r.doc_id: tuple(r) for r in lm.score_documents(docs, 3).collect()}
+    passed, own = [], lm._answers
+    monkeypatch.setattr(lm, "_answers", lambda content, blocks, *rest: passed.append((blocks, own(content, blocks, *rest))) or passed[-1][1])
+    for parts in (2, 8):
+        got = {r.doc_id: tuple(r) for r in lm.score_documents(docs.repartition(parts), 3, fan=4).collect()}
+        assert got.keys() == want.keys() and all(a == pytest.approx(b, rel=1e-9) for k in want for a, b in zip(got[k], want[k], strict=True))
+    (few, small), (many, large) = ((blocks, answers.where("block >= 0").count()) for blocks, answers in passed)
+    assert (few, many) == (4, 16) and large / many <= 1.2 * small / few
