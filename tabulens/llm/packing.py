@@ -111,6 +111,17 @@ def token_ids(texts: list[str | None], path: str):
         yield np.append(flat[shift + np.arange(total)], np.uint32(END)).astype("<u4")
 
 
+#: Texts by which a tokenizer is tried: runs of white space, capitals, marks after words and within, accents, digits.
+SAMPLES = ("Two  words.\n\tThree, FOUR", "Été à l'école, ÉCOLE.", "end. Of,line x.y a,b .,", "3.14 v2, (see) \"it's\" e-mail", "Straße 東京, ok", " led by space")
+
+
+def check_tokenizer(path: str) -> None:
+    """A ValueError unless words can be looked up one by one: the ids of whole texts are those that ``token_ids`` puts together."""
+    for text, ids in zip(SAMPLES, token_ids(list(SAMPLES), path), strict=True):
+        if _tokenizer(path).encode(text, add_special_tokens=False).ids != ids[:-1].tolist():
+            raise ValueError(f"{path} does not treat words one by one, so texts cannot be packed with it: {text!r}")
+
+
 def cut(n: int, capacity: int = CAPACITY) -> list[int]:
     """Piece lengths for ``n`` ids."""
     out = [capacity] * (n // capacity)
@@ -206,8 +217,9 @@ def _pooler(capacity: int, with_ids: bool):
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and
     with ``with_ids`` the ids themselves (little-endian 32-bit numbers). Pieces of one sequence
-    follow each other by offset without a gap."""
+    follow each other by offset without a gap. A tokenizer whose ids of a word depend on more than the word is a ValueError."""
     path = tokenizer or default_tokenizer()
+    check_tokenizer(path)
     schema = FIELDS.replace(", sequence_id", ", ids binary, sequence_id") if with_ids else FIELDS
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     pieces = store(texts.mapInArrow(_packer(path, capacity, with_ids), schema + ", task long"), "pieces")

@@ -214,3 +214,12 @@ def test_exchange_of_the_language_model_grows_with_its_blocks(spark, monkeypatch
         assert got.keys() == want.keys() and all(a == pytest.approx(b, rel=1e-9) for k in want for a, b in zip(got[k], want[k], strict=True))
     (few, small), (many, large) = ((blocks, answers.where("block >= 0").count()) for blocks, answers in passed)
     assert (few, many) == (4, 16) and large / many <= 1.2 * small / few
+
+
+def test_packing_refuses_other_tokenizers(spark):
+    import public_tokenizers
+
+    packing.check_tokenizer(packing.default_tokenizer())
+    docs = spark.createDataFrame([(1, "Some text")], SCHEMA)
+    with pytest.raises(ValueError, match="words one by one"):
+        packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
