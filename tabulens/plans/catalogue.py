@@ -340,6 +340,7 @@ _query(
 _query("head", lambda s, d: tables.head(_table(s, d, "customer"), order_by=["c_custkey"]), "SELECT * FROM customer ORDER BY c_custkey LIMIT 5")
 _query("preview", lambda s, d: tables.preview(_table(s, d, "orders"), columns=3, order_by=["o_orderkey"]), "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 4")
 _query("row_cap", lambda s, d: cap_rows(_table(s, d, "orders"), 1000, ["o_orderkey"])[0], "SELECT * FROM orders ORDER BY o_orderkey LIMIT 1000")
+_query("first_rows", lambda s, d: cap_rows(_table(s, d, "orders"), 1000)[0], "SELECT * FROM orders LIMIT 1000")
 _query(
     "dense_columns",
     lambda s, d: _gappy(s, d).select(profile.dense_columns(_gappy(s, d), 0.9)).groupBy().agg(F.count(F.lit(1)).alias("rows"), F.lit(len(profile.dense_columns(_gappy(s, d), 0.9))).cast("long").alias("columns")),
@@ -376,6 +377,11 @@ _query(
     lambda s, d: narrative.missing_comment(_table(s, d, "orders")),
     "SELECT 'no missing values' AS comment FROM (SELECT count(*) FROM orders)",
 )
+_query(
+    "missing_comment_gaps",
+    lambda s, d: narrative.missing_comment(_gappy(s, d)),
+    f'WITH {GAPPY}, m AS ({_MISSING.format(digits=1)}) SELECT "column" || \' has most missing values (\' || percent || \'%); \' || (SELECT count(*) FROM m WHERE missing > 0) || \' columns have any\' AS comment FROM m ORDER BY missing DESC, position LIMIT 1',
+)
 
 _query(
     "model_features",
@@ -393,6 +399,11 @@ def _forest(s: SparkSession, d: str, target: str):
     return predict.predict(df, target, F.struct(*_KEY))
 
 
+_query(
+    "automatic_target",
+    lambda s, d: s.createDataFrame([predict.choose_target(_table(s, d, "orders"))], "column string, task string"),
+    "SELECT 'o_orderpriority' AS \"column\", 'classification' AS task FROM (SELECT count(DISTINCT o_orderpriority) AS n FROM orders) WHERE n BETWEEN 2 AND 20",
+)
 _query("predict_class", lambda s, d: _forest(s, d, "l_returnflag").metrics)
 _query("predict_reg", lambda s, d: _forest(s, d, "l_extendedprice").metrics)
 _query("importances", lambda s, d: _forest(s, d, "l_extendedprice").importances)
