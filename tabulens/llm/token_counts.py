@@ -356,7 +356,8 @@ def _counter(path: str | None, limit: int):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in words.chunks(texts, TOGETHER):
                 cut = [machine.pieces(t) for t in texts[a:b]]
-                per_piece = machine.counts([p for pieces, _ in cut for p in pieces])
+                every = [p for pieces, _ in cut for p in pieces]
+                per_piece = np.concatenate([machine.counts(every[i:j]) for i, j in words.chunks(every, TOGETHER)])
                 first = np.cumsum([0, *(len(pieces) for pieces, _ in cut)])[:-1]
                 tokens = np.add.reduceat(per_piece, first) + np.array([n for _, n in cut])
                 size = [len(t.encode()) for t in texts[a:b]]
