@@ -122,7 +122,8 @@ def correlation(df: DataFrame, columns: list[str] | None = None, digits: int | N
     named = lambda i, name: F.broadcast(spark.createDataFrame(list(enumerate(columns)), f"{i} int, {name} string"))
     pairs = spark.range(k * k).select(F.floor(F.col("id") / k).cast("int").alias("i"), (F.col("id") % k).cast("int").alias("j"))
     pairs = pairs.join(named("i", "col_x"), "i").join(named("j", "col_y"), "j")
-    corr = F.col("corr") if digits is None else F.round("corr", digits)
+    # A small negative rounds to plain 0.
+    corr = F.col("corr") if digits is None else F.round("corr", digits) + F.lit(0.0)
     return pairs.join(found, ["i", "j"], "left").select("col_x", "col_y", corr.alias("corr"))
 
 

@@ -222,7 +222,7 @@ _query(
     "correlation_wide",
     lambda s, d: correlation.correlation(_table(s, d, "lineitem").select(*[F.expr(x).alias(c) for c, x in _WIDE.items()]), digits=4),
     "WITH wide AS MATERIALIZED (SELECT " + ", ".join(f"{x} AS {c}" for c, x in _WIDE.items()) + " FROM lineitem), "
-    "half AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 4) AS corr FROM wide" for a, b in combinations_with_replacement(_WIDE, 2)) + ") "
+    "half AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 4) + 0.0 AS corr FROM wide" for a, b in combinations_with_replacement(_WIDE, 2)) + ") "
     "SELECT a AS col_x, b AS col_y, corr FROM half UNION ALL SELECT b, a, corr FROM half WHERE a <> b",
 )
 _query(

@@ -27,8 +27,8 @@ def _place(sequence: Column) -> Column:
 
 
 def _sequences(text: Column) -> Column:
-    last = F.length(text) - (LETTERS - 1)
-    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, LETTERS))))
+    """Every sequence of letters that are not white space, at each place by a look ahead: one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?=(\S{{{LETTERS}}}))"), F.lit(1)))
 
 
 class SearchIndex:
